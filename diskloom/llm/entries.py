@@ -7,11 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, quality, simhash
+from . import exact_dedup, html_text, media, mixing, packing, quality, scratch, simhash, token_counts
 
 #: The vocabulary file; a parameter of the operators, never part of this repository.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 CAPACITY = 2048
+#: The vocabulary's end-of-document id.
+END_ID = 50256
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +24,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(_table(spark, sf_dir, "documents"), VOCABULARY, CAPACITY), CAPACITY)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents")).drop("n_points")
 
@@ -39,8 +45,17 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(media.store(_table(spark, sf_dir, "documents"))).drop("landmarks")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = scratch.table(token_counts.write_flat(_table(spark, sf_dir, "documents"), VOCABULARY, END_ID), "flat")
+    return token_counts.count_tokens(flat, END_ID).select("doc_id", "n_tokens")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op5_exact_dedup, op6_quality_classifier, op7_source_mixing, op8_simhash_near_dedup)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 _OP5_SQL = r"""
