@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, media, mixing, packing, quality, repeats, scratch, simhash, token_counts
+from . import exact_dedup, html_text, language_model, media, mixing, packing, quality, repeats, scratch, simhash, token_counts
 
 #: The vocabulary file; a parameter of the operators, never part of this repository.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(_table(spark, sf_dir, "documents"), VOCABULARY, CAPACITY), CAPACITY)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(_table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(_table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
