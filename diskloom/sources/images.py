@@ -75,7 +75,7 @@ def scan(spark: SparkSession, folder: str, patterns: tuple[str, ...] = _PATTERNS
 
 
 def host_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, relative, length, content`` of all files below a host folder, for import."""
+    """``path, relative, length, content`` of all files below a host folder, for import (Spark passes over empty ones)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     root = folder.rstrip("/").split("/")[-1]
     return files.select("path", F.regexp_extract("path", rf"/{root}/(.*)$", 1).alias("relative"), "length", "content")
