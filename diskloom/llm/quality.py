@@ -151,20 +151,27 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     no labelled row the model knows nothing and scores one half.
     """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y")).where("__y is not null").groupBy("__id").agg(F.max("__y").alias("__y"))
+    sized = docs.where(~held_out(id_col, folds)).select(F.col(id_col).alias("__id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).alias("__size"))
+    chosen = (
+        sized.where(F.col("__size") <= sample_bytes).join(known, "__id")
+        .select("__id", "__y", F.xxhash64("__id").alias("__h")).distinct().orderBy("__h", "__id").limit(sample)
+    )
+    # At most ``sample`` rows of two numbers: the texts stay where they are.
+    picked = chosen.collect()
+    few = docs.sparkSession.createDataFrame([(r["__id"], r["__y"], r["__h"]) for r in picked], chosen.schema)
     rows = (
-        docs.where(~held_out(id_col, folds)).where(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= sample_bytes)
-        .select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
-        .join(known, "__id")
-        .select(F.xxhash64("__id").alias("h"), F.col("__id").alias("id"), F.col("__text").alias("text"), F.col("__y").alias("y"))
+        docs.where(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= sample_bytes)
+        .select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(few), "__id")
+        .select(F.col("__h").alias("h"), F.col("__id").alias("id"), F.col("__text").alias("text"), F.col("__y").alias("y"))
         .orderBy("h", "id", "text").limit(sample).toArrow()
     )
     if not rows.num_rows:
         model = Model.start(np.random.default_rng(0))
         model.w["c"][:] = 0
         return model
-    data, off = textops.utf8(rows.column("text").combine_chunks())
-    x, first = encode(data, off)
-    return fit(x, first, rows.column("y").to_numpy())
+    parts = [encode(*textops.utf8(part.column("text"))) for batch in rows.to_batches() for part in textops.pieces(batch, "text", 1 << 18)]
+    counts = np.concatenate([np.diff(first) for _, first in parts])
+    return fit(np.concatenate([x for x, _ in parts]), np.concatenate(([0], np.cumsum(counts))), rows.column("y").to_numpy())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, folds: int = 5) -> DataFrame:
