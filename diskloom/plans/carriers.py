@@ -491,6 +491,54 @@ def image_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", image_type(F.col("content"), F.octet_length("content")).alias("image_type"))
 
 
+def _little(number: Column, size: int) -> Column:
+    """A number's low bytes as hex digits, least first."""
+    digits = F.lpad(F.hex(number.cast("long")), 2 * size, "0")
+    return F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in range(size - 1, -1, -1)))
+
+
+@query("""WITH b AS (SELECT p_partkey, [1, 2, 4, 8, 3][1 + p_partkey % 5] AS per, 16 * (p_size % 20) + 7 AS slots, CASE WHEN p_partkey % 9 = 0 THEN 70000 + p_partkey ELSE 600 + p_partkey % 2280 END AS total, p_size % 10 AS fat FROM part)
+  SELECT p_partkey, CAST(1 + 2 * fat AS INTEGER) AS dir_start, CAST((slots + 15) // 16 AS INTEGER) AS dir_sectors, CAST(1 + 2 * fat + (slots + 15) // 16 AS INTEGER) AS data_start,
+    CAST((total - 1 - 2 * fat - (slots + 15) // 16) // per AS BIGINT) AS total_clusters, CAST(per * 512 AS INTEGER) AS cluster_size,
+    CASE WHEN per = 3 THEN 'Invalid sectors per cluster: 3' WHEN fat = 0 THEN 'FATSize16 cannot be zero' END AS problem FROM b""")
+def ibm_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameter blocks decoded from bytes, and what follows from them."""
+    from ..sources.headers import parameter_block
+
+    key = F.col("p_partkey")
+    total = F.when(key % 9 == 0, key + 70000).otherwise(key % 2280 + 600)
+    per = F.element_at(F.array(*(F.lit(x) for x in (1, 2, 4, 8, 3))), (key % 5 + 1).cast("int"))
+    fields = [F.lit("EB3C90" + "20" * 8 + "0002"), _little(per, 1), F.lit("0100" + "02"), _little(F.col("p_size") % 20 * 16 + 7, 2), F.when(total < 65536, _little(total, 2)).otherwise("0000"), F.lit("F9"), _little(F.col("p_size") % 10, 2), F.lit("09000200" + "00" * 4), F.when(total < 65536, "00000000").otherwise(_little(total, 4)), F.lit("00" * 474 + "55AA")]
+    rows = _table(spark, sf_dir, "part").select("p_partkey", parameter_block(F.unhex(F.concat(*fields))).alias("b"))
+    return rows.select("p_partkey", "b.dir_start", "b.dir_sectors", "b.data_start", "b.total_clusters", "b.cluster_size", "b.problem")
+
+
+@query("SELECT o_orderkey, CAST(o_custkey % 3 AS BIGINT) AS hunk, CAST((o_custkey % 3 * o_orderkey % 5) * 4096 AS BIGINT) AS \"offset\", CAST(CASE WHEN (o_custkey % 3 * o_orderkey % 5) = 0 THEN 0 ELSE 4096 END AS BIGINT) AS stored FROM orders WHERE o_orderkey % 10 = 0")
+def chd_hunk_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hunk maps of containers without compression, decoded from big-endian bytes."""
+    from ..sources.headers import uncompressed_hunk_map
+
+    entries = F.concat(*(F.lpad(F.hex(F.lit(i) * F.col("o_orderkey") % 5), 8, "0") for i in range(3)))
+    rows = _table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", "o_custkey", uncompressed_hunk_map(F.unhex(entries), F.lit(0), F.lit(4096), F.lit(3)).alias("map"))
+    return rows.select("o_orderkey", F.explode("map").alias("m"), "o_custkey").where("m.hunk = o_custkey % 3").select("o_orderkey", "m.hunk", "m.offset", "m.stored")
+
+
+@query(f"""WITH {_LAYOUT} SELECT volume, id, CAST(11 + (first_cluster - 2) * 4 AS BIGINT) AS first_sector, CAST(11 + (first_cluster - 2 + n_clusters) * 4 - 1 AS BIGINT) AS last_sector, CAST(n_clusters * 4 AS BIGINT) AS sectors FROM layout WHERE n_clusters > 0""")
+def chain_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sectors that the clusters of each chain stand for."""
+    files = layout(spark, sf_dir)
+    walked = chains.follow(fat_table(files), files.where("n_clusters > 0").select("volume", "id", F.col("first_cluster").alias("start")))
+    each = walked.select("volume", "id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), "cluster").select("volume", "id", (11 + (F.col("cluster") - 2) * 4 + F.col("k")).cast("long").alias("s"))
+    return each.groupBy("volume", "id").agg(F.min("s").alias("first_sector"), F.max("s").alias("last_sector"), F.count(F.lit(1)).alias("sectors"))
+
+
+@query(f"""WITH {_LAYOUT} SELECT volume, count(*) AS files, CAST(sum(file_size) AS BIGINT) AS copied_bytes, count(*) FILTER (file_size = 0) AS empty FROM layout WHERE regexp_matches(CAST(id AS VARCHAR) || '.TXT', '^.*7\\.TXT$') GROUP BY volume""")
+def copy_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and bytes that a copy with a pattern would move from each volume."""
+    rows = layout(spark, sf_dir).where(names.glob(F.concat(F.col("id").cast("string"), F.lit(".TXT")), "*7.txt"))
+    return rows.groupBy("volume").agg(F.count(F.lit(1)).alias("files"), F.sum("file_size").alias("copied_bytes"), F.count_if(F.col("file_size") == 0).alias("empty"))
+
+
 # ---- images proper, built from documents -------------------------------------------------
 
 _PER_IMAGE = 40

@@ -108,6 +108,17 @@ def import_changes(files: DataFrame, image_id: str, volume: int = 0, target: str
     return made.unionByName(rows.select(*common(F.lit(1 << 20), "write", F.array_join("parts", "\\"), F.col("content"))))
 
 
+def paste_changes(contents: DataFrame, image_id: str, volume: int = 0, target: str = "") -> DataFrame:
+    """The change-set that copies files of images (rows of ``contents``) into a directory of a volume."""
+    base = "\\".join([x for x in target.upper().replace("/", "\\").split("\\") if x] + [""])
+    name = F.element_at(F.split("path", r"\\"), -1)
+    rows = contents.where("content is not null")
+    return rows.select(
+        F.lit(image_id).alias("image_id"), F.lit(volume).alias("volume_idx"), F.lit(0).alias("seq"), F.lit("write").alias("op"), F.concat(F.lit(base), name).alias("path"),
+        F.lit(None).cast("string").alias("argument"), "content",
+    )
+
+
 def reports(rows: DataFrame) -> DataFrame:
     """Rows as JSON documents, one a line, as the text sink writes them."""
     return rows.select(F.to_json(F.struct("*")).alias("value"))

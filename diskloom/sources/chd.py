@@ -172,3 +172,19 @@ def hunks(images: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([{"path": row["path"], "hunk": i, "kind": k, "offset": o, "stored": n} for i, (k, o, n) in enumerate(entries)])
 
     return images.where(F.substring("content", 1, 8) == F.lit(bytearray(MAGIC))).select("path", "content").mapInArrow(run, "path string, hunk long, kind long, offset long, stored long")
+
+
+def metadata(images: DataFrame) -> DataFrame:
+    """``path, tag, value`` of the metadata of the containers among ``images``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                try:
+                    found = [{"path": row["path"], "tag": tag, "value": value} for tag, value in Container(row["content"]).metadata()]
+                except Problem:
+                    continue
+                if found:
+                    yield pa.RecordBatch.from_pylist(found)
+
+    return images.where(F.substring("content", 1, 8) == F.lit(bytearray(MAGIC))).select("path", "content").mapInArrow(run, "path string, tag string, value binary")

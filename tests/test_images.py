@@ -152,3 +152,44 @@ def test_command_line(folder, spark, tmp_path, capsys):
     assert main(["create", str(tmp_path / "n.img"), "360K"]) == 0 and (tmp_path / "n.img").stat().st_size == 368640
     assert main(["mkdir", folder, "NEW", "--image", "v.img", "--out", str(tmp_path / "o")]) == 0 and (tmp_path / "o/v.img").exists()
     assert main(["delete", folder, "NO.NE", "--image", "v.img", "--out", str(tmp_path / "o")]) == 1
+
+
+def test_headers_agree_with_the_kernel(corpus):
+    from diskloom.sources import headers
+
+    boot = F.substring("content", 1, 512)
+    ibm = corpus.images.where("image_id = 'ibm.ima'").select(headers.parameter_block(boot).alias("b")).first()["b"]
+    victor = corpus.images.where("image_id = 'v.img'").select(headers.victor_boot(boot).alias("b")).first()["b"]
+    shape = {r["image_id"]: r for r in corpus.volumes.where("volume_idx = 0").collect()}
+    for b, v in ((ibm, shape["ibm.ima"]), (victor, shape["v.img"])):
+        assert all(b[x] == v[x] for x in ("fat_start", "fat_sectors", "dir_start", "dir_sectors", "data_start", "total_clusters", "sectors_per_cluster"))
+    assert ibm["oem_name"] == "MSDOS5.0" and ibm["problem"] is None and victor["double_sided"]
+    disk = corpus.images.where("image_id = 'hd.img'").select(headers.physical_label(F.col("content")).alias("b")).first()["b"]
+    assert (disk["serial_number"], disk["volume_addresses"]) == ("SERIAL", [8, 1500, 3000])
+    labels = headers.volume_labels(corpus.images.where("image_id = 'hd.img'")).orderBy("label_index").collect()
+    assert [(r["label"]["name"], r["label"]["kept"], r["label"]["capacity"], len(r["label"]["assignments"])) for r in labels] == [("VOL0", True, 1400, 2), ("VOL1", False, 1400, 2), ("VOL2", True, 1400, 2)]
+
+
+def test_json_documents(corpus):
+    import json
+
+    from diskloom.plans import shapes
+
+    load = lambda df, name: [json.loads(r["value"]) for r in df.where(F.col("image_id") == name).collect()]
+    root = next(x for x in load(shapes.listing(corpus.entries), "v.img") if x["path"] == "")
+    assert root["status"] == "success" and [f["name"] for f in root["files"]] == ["COMMAND.COM", "MSDOS.SYS", "CONFIG.SYS", "EMPTY.TXT", "README", "D1"]
+    assert load(shapes.cpm_listing(corpus.entries), "cpm.img")[0]["files"][1] == {"user": 5, "name": "BIG.DAT", "size": 40064, "is_read_only": False, "is_system": False}
+    assert [p["name"] for p in load(shapes.partitions(corpus.images), "hd.img")[0]["partitions"]] == ["VOL0", "VOL2"]
+    bad = load(shapes.verification(corpus.images), "bad.dsk")[0]
+    assert bad["valid"] and len(bad["warnings"]) == 2 and bad["errors"] == []
+    info = load(shapes.information(corpus.images), "v.img")[0]
+    assert (info["type"], info["file_count"], info["total_formatted"]) == ("Victor 9000 Floppy", 8, "4.6 MB")
+
+
+def test_files_are_pasted_between_images(spark, corpus):
+    from diskloom.plans.corpus import paste_changes
+
+    changes = paste_changes(corpus.contents.where("image_id = 'cpm.img'"), "ibm.ima", target="D1")
+    made = Corpus(corpus.edit(changes))
+    pasted = {r["path"]: r["file_size"] for r in made.entries.where("parent = 'D1' and not is_directory").collect()}
+    assert pasted == {"D1\\DEEP.TXT": 700, "D1\\BIG.DAT": 40064, "D1\\HELLO.CMD": 384, "D1\\NONE.TXT": 128}
