@@ -28,16 +28,18 @@ _FURNITURE = frozenset(("nav", "footer", "aside", "form", "menu", "dialog"))
 _HOLDERS = frozenset("div section nav header footer aside form article main ul ol dl table menu dialog figure blockquote details fieldset".split())
 _LINES = _HOLDERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr pre hr address figcaption caption body head html summary center".split())
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|menu\w*|nav\w*|breadcrumbs?|header|masthead|footer|foot|comments?|disqus\w*|respond|replies|reply|"
-    r"cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|widgets?|toolbar|pagination|pager|search|copyright|legal|tags?)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|sidebar\w*|menu\w*|nav\w*|breadcrumb\w*|foot|footer\w*|comment\w*|disqus\w*|respond|replies|reply|"
+    r"cookie\w*|consent\w*|gdpr|notices?|alerts?|popup\w*|modal|overlay|newsletter\w*|subscribe\w*|subscription|signup|login|share|sharing|social\w*|related\w*|recommend\w*|widget\w*|toolbar|pagination|pager|search|copyright|legal)(?:$|[\s_-])",
     re.I,
 )
+#: Names that are furniture unless they stand in an article, whose heading they may hold.
+_HEADS = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<({_MUTE})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][\w:-]*+)([^>]*+)>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
 def _is_furniture(name: str, attributes: str, inside: bool) -> bool:
@@ -54,6 +56,8 @@ def _is_furniture(name: str, attributes: str, inside: bool) -> bool:
                 return True
         elif name not in ("article", "main", "body", "html") and _NAMES.search(value):
             return True
+        elif name not in ("article", "main", "body", "html") and not inside and _HEADS.search(value):
+            return True
     return False
 
 
@@ -68,12 +72,13 @@ def lines(page: str) -> list[tuple[str, int, bool, bool, int]]:
     parts: list[str] = []
     stack: list[tuple[str, bool, bool, int]] = []  # open holders: name, furniture, article, number
     linked = links = holders = 0
+    muted = False  # the line began with an element that is furniture by itself
 
     def close() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            found.append((text, linked, any(x[2] for x in stack), any(x[1] for x in stack), stack[-1][3] if stack else 0))
+            found.append((text, linked, any(x[2] for x in stack), muted or any(x[1] for x in stack), stack[-1][3] if stack else 0))
         parts.clear()
         linked = 0
 
@@ -100,6 +105,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool, int]]:
             parts.append(" ")
         elif name in _LINES:
             close()
+            muted = not ending and name not in _HOLDERS and _is_furniture(name, attributes, True)
             if name in _HOLDERS:
                 if ending:
                     if any(x[0] == name for x in stack):

@@ -218,6 +218,8 @@ def test_multikey_order():
     ("<script>var a='</p><article>x</article>';</script><style>p{}</style><!-- <p>no</p> --><article><p>yes &#233; &lt;b&gt;</article>", "yes é <b>"),
     ("<article><header><h1>Head</h1></header><p>x</p><form><input><p>sign up</p></form></article>", "Head\nx"),
     ("<article><p>cut off <b>here", "cut off here"), ("<article><p>a < b and c > d</p></article>", "a < b and c > d"), ("<article><div><div><p>deep</p></div></article><div class=cookie-notice>ok?</div>", "deep"),
+    ('<article><div class="article-header"><h1>Head</h1></div><p class="ad">buy</p><p data-hidden=1>x</p><ol class="commentlist"><li>nice</li></ol></article>', "Head\nx"),
+    ('<div class="page-header">Site</div><main><p>one</p><div class="notice">n</div><p>two</p><div role=alert>a</div></main>', "one\ntwo"),
     ('<p title="a > b">attr</p>', "attr"), ("<article></article><div><p>outside " + "x " * 50 + "</p></div>", "outside " + ("x " * 50).strip()),
 ])
 def test_main_text(html, text):
