@@ -291,7 +291,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marks = rows.select("rid", "text").mapInArrow(_find, "h long, rid long, at int, near short, far short")
-    again = marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # Written, so that both sides of the next join are plain exchanges whose skew can be split.
+    again = scratch.table(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "grams")
     by_row = scratch.table(
         marks.join(again, "h", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("at", "near", "far")).alias("marks")), "anchors"
     )
