@@ -613,3 +613,49 @@ def image_fat_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Allocation tables unpacked by native expressions alone."""
     images = built_images(spark, sf_dir)
     return chains.usage(tables.native_fat_entries(images, tables.volumes(images)), "image_id").select("image_id", "used")
+
+
+@query(f"""WITH {_PATHS}, i AS (SELECT DISTINCT image_id FROM docs)
+  SELECT image_id, 'warning' AS severity, 'V11' AS code, 'Found 1 lost cluster chain(s) totaling 2 clusters' AS message FROM i
+  UNION ALL SELECT image_id, 'warning', 'V11', '  Lost chain starting at cluster 700, length 2' FROM i""")
+def image_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings on images whose tables were given a chain that nothing owns."""
+    at = 512 + 700 + 350  # clusters 700 -> 701 -> end, in the first table copy
+    parts = [F.substring("content", 1, at), F.lit(bytearray(b"\xbd\xf2\xff")), F.expr(f"substring(content, {at + 4})")]
+    hurt = built_images(spark, sf_dir).withColumn("content", F.concat(*parts))
+    return tables.findings(hurt).select("image_id", "severity", "code", "message")
+
+
+@query(f"""WITH {_PATHS} SELECT image_id, CASE WHEN doc_id % 7 = 0 THEN regexp_replace(path, 'D([0-9]+)', 'R\\1') ELSE path END AS path, CASE WHEN doc_id % 3 = 0 THEN 'RA' ELSE 'A' END AS attributes, file_size, digest FROM docs WHERE doc_id % 5 <> 0""")
+def image_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files deleted, made read-only and renamed by a change-set, then read back."""
+    built = built_images(spark, sf_dir).select("image_id", "image_type", "content")
+    key = F.col("doc_id")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), F.floor(key / _PER_IMAGE).cast("string"), F.lit(".img")).alias("image_id"), F.concat(F.when(key % 2 == 0, "SUB\\").otherwise(""), F.lit("D"), key.cast("string"), F.lit(".TXT")).alias("path"))
+    steps = F.array(
+        F.struct(F.when(key % 3 == 0, "attr").alias("op"), F.lit("+R").alias("argument")),
+        F.struct(F.when(key % 5 == 0, "delete").when(key % 7 == 0, "rename").alias("op"), F.concat(F.lit("R"), key.cast("string"), F.lit(".TXT")).alias("argument")),
+    )
+    each = docs.select("image_id", "doc_id", "path", F.posexplode(steps).alias("k", "s")).where("s.op is not null")
+    changes = each.select("image_id", F.lit(0).alias("volume_idx"), (F.col("doc_id") % _PER_IMAGE * 2 + F.col("k")).cast("int").alias("seq"), "s.op", "path", "s.argument", F.lit(None).cast("binary").alias("content"))
+    made = edits.apply(built, changes, _WHEN)
+    listed = tables.entries(made).where("not is_directory").select("image_id", "path", names.attribute_string(F.col("attributes")).alias("attributes"))
+    read = tables.contents(made).select("image_id", "path", "file_size", F.md5("content").alias("digest"))
+    return listed.join(read, ["image_id", "path"])
+
+
+_CPM_NAMES = """SELECT 'c' || (conv_id // 40) || '.img' AS image_id, CAST(turn % 16 AS INTEGER) AS "user", 'C' || conv_id || '.T' || turn AS path, CAST(greatest(1, ceil(octet_length(encode(text)) / 128.0)) * 128 AS BIGINT) AS file_size, md5(text) AS digest FROM conversations"""
+
+
+@query(_CPM_NAMES)
+def cpm_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CP/M floppies with a file a conversation turn, written and read back."""
+    rows = _table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("c"), F.floor(F.col("conv_id") / 40).cast("string"), F.lit(".img")).alias("image_id"), F.lit(0).alias("volume_idx"),
+        (F.col("conv_id") % 40 * 100 + F.col("turn")).cast("int").alias("seq"), F.lit("write").alias("op"), F.concat(F.lit("C"), F.col("conv_id").cast("string"), F.lit(".T"), F.col("turn").cast("string")).alias("path"),
+        (F.col("turn") % 16).cast("string").alias("argument"), F.encode("text", "UTF-8").alias("content"),
+    )
+    blank = rows.select("image_id").distinct().select("image_id", F.lit("cpm").alias("image_type"), F.lit(bytearray(b"\xe5" * (1224 * 512))).alias("content"))
+    made = edits.apply(blank, rows, _WHEN)
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "\\x1a+$", "")
+    return tables.contents(made).select("image_id", "user", "path", "file_size", F.md5(F.encode(text, "UTF-8")).alias("digest"))
