@@ -31,8 +31,15 @@ END = np.uint64(0x9E3779B97F4A7C15)
 _STIRLING = 96
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """An array as compressed bytes behind their plain size."""
+    raw = np.ascontiguousarray(values).tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
 def _view(raw: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(raw, dtype=kind)
+    size = int.from_bytes(raw[:8], "little")
+    return np.frombuffer(pa.decompress(raw[8:], decompressed_size=size, codec="zstd") if size else b"", dtype=kind)
 
 
 # ---- texts to blocks ---------------------------------------------------------------------
@@ -60,7 +67,7 @@ def _blocks(block_tokens: int):
             ids[textops.ragged(last - n, n)] = turned[:-1][coded.indices.to_numpy(zero_copy_only=False)]
             train = np.bincount(ids[np.repeat(~own, n + 1)], minlength=len(words)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([base + number], pa.int64()), pa.array([names], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (own, (n + 1).astype(np.int32), ids, words, train)), pa.array([int(train.sum())], pa.int64())],
+                [pa.array([base + number], pa.int64()), pa.array([names], pa.list_(pa.int64())), *(pa.array([_pack(x)], pa.binary()) for x in (own, (n + 1).astype(np.int32), ids, words, train)), pa.array([int(train.sum())], pa.int64())],
                 ["block", "doc_ids", "held", "lengths", "ids", "words", "train", "n_train"],
             )
             number += 1
@@ -98,7 +105,7 @@ def _counts(n: int):
                 words, train = _view(words, "<u8"), _view(train, "<u4")
                 cut = _buckets(words, n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(n, dtype=np.int32)), pa.array([words[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()), pa.array([train[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
+                    [pa.array(np.arange(n, dtype=np.int32)), pa.array([_pack(words[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary()), pa.array([_pack(train[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
                     ["bucket", "words", "train"],
                 )
 
@@ -177,7 +184,7 @@ def _requests(contexts: np.ndarray, n: int):
                 parts = list(zip(cut[:-1], cut[1:], cut_pairs[:-1], cut_pairs[1:]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(n, dtype=np.int32)), pa.array([row["block"]] * n, pa.int64())]
-                    + [pa.array([x[p[i] : p[i + 1]].tobytes() for p in parts], pa.binary()) for x, i in ((words, 0), (per, 0), (context, 2), (train, 2))],
+                    + [pa.array([_pack(x[p[i] : p[i + 1]]) for p in parts], pa.binary()) for x, i in ((words, 0), (per, 0), (context, 2), (train, 2))],
                     ["bucket", "block", "words", "per_word", "contexts", "train"],
                 )
 
@@ -186,7 +193,7 @@ def _requests(contexts: np.ndarray, n: int):
 
 def _merged(rows: list[dict], k: int) -> dict[str, np.ndarray]:
     """Words and pair types of a bucket with their training counts; types have a count above 0."""
-    words, turned, _ = _merge([_view(r["words"], "<u8") for r in rows], [np.zeros(len(r["words"]) // 8) for r in rows])
+    words, turned, _ = _merge(own := [_view(r["words"], "<u8") for r in rows], [np.zeros(len(w)) for w in own])
     keys = _keys(rows, turned, k)
     train = np.concatenate([_view(r["train"], "<u4") for r in rows])
     some = train > 0
@@ -285,7 +292,7 @@ def _state_row(bucket: int, s: dict[str, np.ndarray], k: int) -> pa.RecordBatch:
     root = _root_customers(s, k)
     per = np.bincount(context[own], s["tables"][own], minlength=k).astype(float)
     ones = [float((s["count"][own] == 1).sum()), float((s["count"][own] == 2).sum()), float((root == 1).sum()), float((root == 2).sum())]
-    blobs = [np.ascontiguousarray(s[x]).tobytes() for x in ("words", "types", "count", "tables", "root_tables", "sums", "roots")]
+    blobs = [_pack(s[x]) for x in ("words", "types", "count", "tables", "root_tables", "sums", "roots")]
     return pa.RecordBatch.from_arrays(
         [pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs), pa.array([per], pa.list_(pa.float64())), pa.array([float(root.sum())]), pa.array([float(s["root_tables"].sum())]), pa.array([ones], pa.list_(pa.float64()))],
         [x.split()[0] for x in _STATE.split(", ")],
@@ -352,6 +359,21 @@ def _sweep(totals: Totals, k: int, number: int, keep: bool, rounds: int, seed: i
     return run
 
 
+def _added(k: int):
+    """The sum of the rows' lists: a row a task, so few of them reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, some = np.zeros(k), False
+        for batch in batches:
+            column = batch.column("context_tables")
+            total += column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), k).sum(axis=0)
+            some = some or len(column) > 0
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["context_tables"])
+
+    return run
+
+
 def _within(totals: Totals, count: np.ndarray, tables: np.ndarray, context: np.ndarray, root: np.ndarray) -> np.ndarray:
     """Predictive probabilities in the contexts' restaurants."""
     d = totals.discounts[1]
@@ -384,7 +406,7 @@ def _answer(k: int, backs: np.ndarray):
                 p[seen] = s["sums"][found[seen]] / samples
                 rest = keys[~seen]
                 p[~seen] = (weight[:, rest % (k + 1)] * rooms[:, rest // (k + 1)]).mean(axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([bucket], pa.int32()), pa.array([np.log10(p).astype(np.float32).tobytes()], pa.binary()), pa.array([count[at].tobytes()], pa.binary())], ["block", "bucket", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([bucket], pa.int32()), pa.array([_pack(np.log10(p).astype(np.float32))], pa.binary()), pa.array([_pack(count[at])], pa.binary())], ["block", "bucket", "a", "b"])
 
     return run
 
@@ -461,8 +483,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     discounts, backs = None, []
     for number in range(burn_in + samples + 1):
         tables = np.zeros(k)
-        for r in state.select(F.posexplode("context_tables").alias("c", "t")).groupBy("c").agg(F.sum("t").alias("t")).collect():
-            tables[r["c"]] = r["t"]
+        few = state.select("context_tables").repartition(int(np.ceil(np.sqrt(n)))).mapInArrow(_added(k), "context_tables array<double>")
+        for r in few.collect():
+            tables += np.array(r["context_tables"], float)
         root = state.agg(F.sum("root_customers").alias("c"), F.sum("root_tables_sum").alias("t"), *(F.sum(F.col("ones")[i]).alias(f"o{i}") for i in range(4))).first()
         if discounts is None:  # by the numbers of dishes seen once and twice
             share_of = lambda one, two: float(np.clip((one or 0) / max(1.0, (one or 0) + 2 * (two or 0)), 0.1, 0.95))
