@@ -104,8 +104,10 @@ def _counts(n: int):
             for words, train in zip(batch.column("words").to_pylist(), batch.column("train").to_pylist()):
                 words, train = _view(words, "<u8"), _view(train, "<u4")
                 cut = _buckets(words, n)
+                own = np.flatnonzero(np.diff(cut))  # buckets that the block has words of
+                parts = [(cut[i], cut[i + 1]) for i in own]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(n, dtype=np.int32)), pa.array([_pack(words[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary()), pa.array([_pack(train[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
+                    [pa.array(own.astype(np.int32)), *(pa.array([_pack(x[a:b]) for a, b in parts], pa.binary()) for x in (words, train))],
                     ["bucket", "words", "train"],
                 )
 
@@ -181,9 +183,10 @@ def _requests(contexts: np.ndarray, n: int):
                 per = np.bincount(word, minlength=len(words)).astype(np.uint32)
                 cut = _buckets(words, n)
                 cut_pairs = np.searchsorted(word, cut)
-                parts = list(zip(cut[:-1], cut[1:], cut_pairs[:-1], cut_pairs[1:]))
+                own = np.flatnonzero(np.diff(cut))
+                parts = [(cut[i], cut[i + 1], cut_pairs[i], cut_pairs[i + 1]) for i in own]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(n, dtype=np.int32)), pa.array([row["block"]] * n, pa.int64())]
+                    [pa.array(own.astype(np.int32)), pa.array([row["block"]] * len(own), pa.int64())]
                     + [pa.array([_pack(x[p[i] : p[i + 1]]) for p in parts], pa.binary()) for x, i in ((words, 0), (per, 0), (context, 2), (train, 2))],
                     ["bucket", "block", "words", "per_word", "contexts", "train"],
                 )
