@@ -289,7 +289,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     below 200 bytes, keep all they have; an empty table gives an empty table; further
     columns are ignored.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # Written once: row numbers must not change between the passes, even if executors do.
+    rows = scratch.table(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "rows")
     marks = rows.select("rid", "text").mapInArrow(_find, "h long, rid long, at int, near short, far short")
     # Written, so that both sides of the next join are plain exchanges whose skew can be split.
     again = scratch.table(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "grams")
@@ -309,7 +310,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     across = edge.groupBy("string").agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).where("a <> b").select("string")
     late = edge.where("open").join(across, "string", "left_semi")
     ranges = found.where("string is null").select("key", "first", "last").union(late.select("key", "first", "last"))
-    ranges = ranges.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    ranges = scratch.table(ranges.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "ranges")
     spans = (
         contexts.select("key", "rid", "begin", "far").join(ranges, "key")
         .select("rid", "begin", "far", F.explode("ranges").alias("r"))
