@@ -11,7 +11,7 @@ Ranks come from salted counts, so a length that a third of all pieces share is s
 
 from __future__ import annotations
 
-import heapq
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -62,18 +62,28 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id:
 
 
 class _Gaps:
-    """Open sequences grouped by gap; equal sequences are kept as one run of numbers."""
+    """Open sequences by gap; sequences with equal contents are one run of numbers."""
 
     def __init__(self) -> None:
         self.runs: dict[int, list[tuple[int, int, int]]] = {}  # gap -> (first sequence, how many, used)
-        self.sizes: list[int] = []
+        self.sizes: list[int] = []  # gaps that have a run, ascending
 
     def add(self, gap: int, first: int, many: int, used: int) -> None:
         if gap > 0 and many > 0:
-            if gap not in self.runs:
-                self.runs[gap] = []
-                heapq.heappush(self.sizes, gap)
-            self.runs[gap].append((first, many, used))
+            if not self.runs.get(gap):
+                bisect.insort(self.sizes, gap)
+            self.runs.setdefault(gap, []).append((first, many, used))
+
+    def tightest(self, length: int) -> tuple[int, int, int, int] | None:
+        """Take out a run of the smallest gap that holds ``length``: gap, first, how many, used."""
+        at = bisect.bisect_left(self.sizes, length)
+        if at == len(self.sizes):
+            return None
+        gap = self.sizes[at]
+        run = self.runs[gap].pop()
+        if not self.runs[gap]:
+            self.sizes.pop(at)
+        return gap, *run
 
 
 def solve(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -113,42 +123,27 @@ def solve(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
                 place(mate, many, free, 1, n)
             free += many
 
-    open_gaps = sorted(gaps.runs)
-    import bisect
-
-    def push(gap: int, first: int, many: int, used: int) -> None:
-        if gap > 0 and many > 0:
-            if gap not in gaps.runs or not gaps.runs[gap]:
-                at = bisect.bisect_left(open_gaps, gap)
-                if at == len(open_gaps) or open_gaps[at] != gap:
-                    open_gaps.insert(at, gap)
-                gaps.runs.setdefault(gap, [])
-            gaps.runs[gap].append((first, many, used))
-
     for n in sorted((n for n in left if 3 * n <= capacity), reverse=True):
         while left[n]:
-            at = bisect.bisect_left(open_gaps, n)
-            if at == len(open_gaps):
-                per = capacity // n
-                push(capacity, free, -(-left[n] // per), 0)
-                free += -(-left[n] // per)
+            found = gaps.tightest(n)
+            if found is None:
+                new = -(-left[n] // (capacity // n))
+                gaps.add(capacity, free, new, 0)
+                free += new
                 continue
-            gap = open_gaps[at]
-            first, many, used = gaps.runs[gap].pop()
-            if not gaps.runs[gap]:
-                open_gaps.pop(at)
+            gap, first, many, used = found
             per = gap // n
             whole = min(many, left[n] // per)
             if whole:
                 place(n, whole * per, first, per, used)
-                push(gap - per * n, first, whole, used + per * n)
+                gaps.add(gap - per * n, first, whole, used + per * n)
                 first, many = first + whole, many - whole
-            elif left[n]:
+            else:
                 rest = left[n]
                 place(n, rest, first, rest, used)
-                push(gap - rest * n, first, 1, used + rest * n)
+                gaps.add(gap - rest * n, first, 1, used + rest * n)
                 first, many = first + 1, many - 1
-            push(gap, first, many, used)
+            gaps.add(gap, first, many, used)
     return slots
 
 
