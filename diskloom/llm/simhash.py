@@ -178,8 +178,25 @@ def _stars(own: np.ndarray, bucket: int, low: int, flips: list[np.ndarray]) -> t
         found_b.append(pairs[:, 1])
     if not found_a:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    pairs = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)], axis=1), axis=0)
-    return pairs[:, 0].copy(), pairs[:, 1].copy()
+    return _folded(np.concatenate(found_a), np.concatenate(found_b))
+
+
+def _folded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same classes with one link a member: from the least member to each other one."""
+    nodes, turned = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two = turned[: len(a)], turned[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        low = np.minimum(label[one], label[two])
+        np.minimum.at(label, one, low)
+        np.minimum.at(label, two, low)
+        np.minimum.at(label, before, label)  # a former root follows its members
+        label = label[label]
+        if (label == before).all():
+            break
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[other]], nodes[other]
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -192,10 +209,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # The least neighbours are written, so that a hub's rows can be split in the join.
+        least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         # Small star: every node to the least of its smaller neighbours.
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        least = scratch.table(large.groupBy("b").agg(F.min("a").alias("m")), "least")
         small = large.join(least, "b").select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"))
         small = small.union(least.select(F.col("m").alias("a"), "b")).where("a <> b").distinct()
         edges = scratch.table(small, "stars")
