@@ -1,22 +1,23 @@
 """Scoring of texts by a hierarchical Pitman-Yor model of words.
 
-Every word that makes up at least ``share`` of the training tokens is a context and has
-its own restaurant of the words that follow it; all of them share one parent restaurant,
-which also seats the words that follow rarer ones, and whose base is uniform over the
-vocabulary and one unknown word.  Customers are words, tables send one customer each to
-the parent.  Seating is sampled by Gibbs: customers are taken out and seated anew given
-all others.  The seatings of a sweep give predictive probabilities, which are averaged.
+Every training word is a context and has its own restaurant of the words that follow it
+(a ``share`` above 0 asks for that part of the training tokens); all of them share one
+parent restaurant, whose base is uniform over the vocabulary and one unknown word.
+Customers are words, tables send one customer each to the parent.  Seating is sampled by
+Gibbs: customers are taken out and seated anew given all others.  The seatings of a sweep
+give predictive probabilities, which are averaged.
 
 Nothing is kept word by word: texts become blocks of word numbers; a block asks for the
 (word, context) pairs it holds; pairs are dealt out by word to buckets, where counts are
 merged and seats are sampled; and each bucket answers the blocks.  A frequent word is one
-row a block, so no bucket grows with its count.  Between sweeps only the tables of each
-context (at most 1 / ``share`` numbers) go through the driver.
+row a block, so no bucket grows with its count.  Contexts are added up where they live as
+words: before a sweep each bucket sends there what it seats of its contexts, and is told
+the totals.  Only a few sums a bucket go through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +33,18 @@ _STIRLING = 96
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """An array as compressed bytes behind their plain size."""
-    raw = np.ascontiguousarray(values).tobytes()
+    """An array as compressed bytes behind their plain size; sorted words (64 bits) as differences."""
+    if values.dtype == np.uint64:
+        values = np.diff(values, prepend=np.uint64(0))
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()  # bytes of one weight side by side
     return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
 def _view(raw: bytes, kind: str) -> np.ndarray:
     size = int.from_bytes(raw[:8], "little")
-    return np.frombuffer(pa.decompress(raw[8:], decompressed_size=size, codec="zstd") if size else b"", dtype=kind)
+    flat = np.frombuffer(pa.decompress(raw[8:], decompressed_size=size, codec="zstd") if size else b"", dtype=np.uint8)
+    values = np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.cumsum(values, dtype=np.uint64) if kind == "<u8" else values
 
 
 # ---- texts to blocks ---------------------------------------------------------------------
@@ -96,19 +101,24 @@ def _buckets(words: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted((words >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), np.arange(n + 1))
 
 
+def _numbered(numbers: np.ndarray, n: int) -> np.ndarray:
+    """The same of numbered words, whose upper half is the bucket."""
+    return np.searchsorted(numbers, np.arange(n + 1, dtype=np.uint64) << np.uint64(32))
+
+
 def _counts(n: int):
     """Training counts of a block's words, dealt out by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words, train in zip(batch.column("words").to_pylist(), batch.column("train").to_pylist()):
+            for block, words, train in zip(*(batch.column(x).to_pylist() for x in ("block", "words", "train"))):
                 words, train = _view(words, "<u8"), _view(train, "<u4")
                 cut = _buckets(words, n)
                 own = np.flatnonzero(np.diff(cut))  # buckets that the block has words of
                 parts = [(cut[i], cut[i + 1]) for i in own]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own.astype(np.int32)), *(pa.array([_pack(x[a:b]) for a, b in parts], pa.binary()) for x in (words, train))],
-                    ["bucket", "words", "train"],
+                    [pa.array([block] * len(own), pa.int64()), pa.array(own.astype(np.int32)), *(pa.array([_pack(x[a:b]) for a, b in parts], pa.binary()) for x in (words, train))],
+                    ["block", "bucket", "words", "train"],
                 )
 
     return run
@@ -133,81 +143,107 @@ def _merge(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return own, turned, np.bincount(turned, np.concatenate(counts), minlength=len(own)).astype(np.int64)
 
 
-def _frequent(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches):
-            words, _, count = _merge([_view(r["words"], "<u8") for r in rows], [_view(r["train"], "<u4") for r in rows])
-            many = count >= max(1.0, least)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int((count > 0).sum())], pa.int64()), pa.array([words[many].view(np.int64)], pa.list_(pa.int64())), pa.array([count[many]], pa.list_(pa.int64()))],
-                ["distinct", "words", "counts"],
-            )
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of the words, in their order, for each block; training words are counted once a bucket."""
+    for bucket, rows in _groups(batches):
+        _, turned, count = _merge(words := [_view(r["words"], "<u8") for r in rows], [_view(r["train"], "<u4") for r in rows])
+        numbers = turned.astype(np.uint64) | np.uint64(bucket) << np.uint64(32)
+        distinct, a = int((count > 0).sum()), 0
+        for r, own in zip(rows, words):
+            blob = _pack(numbers[a : a + len(own)])
+            yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary()), pa.array([distinct], pa.int64())], ["block", "bucket", "numbers", "distinct"])
+            distinct, a = 0, a + len(own)
 
-    return run
 
+_NUMBERED = "block long, doc_ids array<long>, held binary, lengths binary, ids binary, words binary, end_at long"
 
-# ---- pairs -------------------------------------------------------------------------------
 
+def _renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with numbers for the hashes of their words."""
 
-def _pairs(row: dict, contexts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """A block's distinct pairs ``word * (K + 1) + context`` in order, and each token's pair.
+    def close(own: dict, parts: list[bytes]) -> pa.RecordBatch:
+        end = int(np.searchsorted(_view(own["words"], "<u8"), END))
+        words = _pack(np.concatenate([_view(x, "<u8") for x in parts]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([own["block"]], pa.int64()), pa.array([own["doc_ids"]], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (own["held"], own["lengths"], own["ids"], words)), pa.array([end], pa.int64())],
+            [x.split()[0] for x in _NUMBERED.split(", ")],
+        )
 
-    Context K stands for every word that has no restaurant of its own.
-    """
-    k = len(contexts)
+    own, parts = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] < 0:
+                if own is not None:
+                    yield close(own, parts)
+                own, parts = row, []
+            else:
+                parts.append(row["numbers"])
+    if own is not None:
+        yield close(own, parts)
+
+
+# ---- pairs -------------------------------------------------------------------------------
+
+
+def _pairs(row: dict) -> tuple[np.ndarray, ...]:
+    """A block's words, its distinct pairs ``word * W + context`` in order, each token's pair, and lengths."""
     words, ids = _view(row["words"], "<u8"), _view(row["ids"], "<u4").astype(np.int64)
     lengths = _view(row["lengths"], "<i4").astype(np.int64)
-    at = np.minimum(np.searchsorted(contexts, words), max(0, k - 1))
-    context = np.where(contexts[at] == words, at, k) if k else np.full(len(words), k)
-    end = context[np.searchsorted(words, END)]
     before = np.empty(len(ids), np.int64)
-    before[1:] = context[ids[:-1]]
-    before[np.cumsum(lengths) - lengths] = end
-    pairs, turned = np.unique(ids * (k + 1) + before, return_inverse=True)
+    before[1:] = ids[:-1]
+    before[np.cumsum(lengths) - lengths] = row["end_at"]
+    pairs, turned = np.unique(ids * len(words) + before, return_inverse=True)
     return words, pairs, turned, lengths
 
 
-_REQUESTS = "bucket int, block long, words binary, per_word binary, contexts binary, train binary"
+_REQUESTS = "bucket int, block long, words binary, per_word binary, names binary, contexts binary, train binary"
+
 
+def _requests(n: int):
+    """The pairs of each block, dealt out by word; ``contexts`` are places in ``names``."""
 
-def _requests(contexts: np.ndarray, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(contexts)
         for batch in batches:
             for row in batch.to_pylist():
-                words, pairs, turned, lengths = _pairs(row, contexts)
+                words, pairs, turned, lengths = _pairs(row)
                 known = np.repeat(~_view(row["held"], "?"), lengths)
                 train = np.bincount(turned[known], minlength=len(pairs)).astype(np.uint32)
-                word = pairs // (k + 1)
-                context = (pairs % (k + 1)).astype(np.uint16)
+                word, context = pairs // len(words), pairs % len(words)
                 per = np.bincount(word, minlength=len(words)).astype(np.uint32)
-                cut = _buckets(words, n)
+                cut = _numbered(words, n)
                 cut_pairs = np.searchsorted(word, cut)
                 own = np.flatnonzero(np.diff(cut))
-                parts = [(cut[i], cut[i + 1], cut_pairs[i], cut_pairs[i + 1]) for i in own]
+                blobs = []
+                for i in own:
+                    a, b, c, d = cut[i], cut[i + 1], cut_pairs[i], cut_pairs[i + 1]
+                    names, at = np.unique(context[c:d], return_inverse=True)
+                    blobs.append([_pack(x) for x in (words[a:b], per[a:b], words[names], at.astype(np.uint32), train[c:d])])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own.astype(np.int32)), pa.array([row["block"]] * len(own), pa.int64())]
-                    + [pa.array([_pack(x[p[i] : p[i + 1]]) for p in parts], pa.binary()) for x, i in ((words, 0), (per, 0), (context, 2), (train, 2))],
-                    ["bucket", "block", "words", "per_word", "contexts", "train"],
+                    [pa.array(own.astype(np.int32)), pa.array([row["block"]] * len(own), pa.int64()), *(pa.array([x[i] for x in blobs], pa.binary()) for i in range(5))],
+                    [x.split()[0] for x in _REQUESTS.split(", ")],
                 )
 
     return run
 
 
-def _merged(rows: list[dict], k: int) -> dict[str, np.ndarray]:
-    """Words and pair types of a bucket with their training counts; types have a count above 0."""
-    words, turned, _ = _merge(own := [_view(r["words"], "<u8") for r in rows], [np.zeros(len(w)) for w in own])
-    keys = _keys(rows, turned, k)
-    train = np.concatenate([_view(r["train"], "<u4") for r in rows])
-    some = train > 0
-    types, at = np.unique(keys[some], return_inverse=True)
-    count = np.bincount(at, train[some], minlength=len(types)).astype(np.int64)
-    return {"words": words, "types": types, "count": count}
+def _asked(row: dict, words: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a request's pairs in a bucket's words and contexts."""
+    word = np.repeat(np.searchsorted(words, _view(row["words"], "<u8")), _view(row["per_word"], "<u4"))
+    return word, np.searchsorted(names, _view(row["names"], "<u8"))[_view(row["contexts"], "<u4")]
 
 
-def _keys(rows: list[dict], turned: np.ndarray, k: int) -> np.ndarray:
-    per = np.concatenate([_view(r["per_word"], "<u4") for r in rows]).astype(np.int64)
-    return np.repeat(turned.astype(np.int64), per) * (k + 1) + np.concatenate([_view(r["contexts"], "<u2") for r in rows])
+def _merged(rows: list[dict]) -> dict[str, np.ndarray]:
+    """Words, contexts and pair types of a bucket with their training counts; types have a count above 0."""
+    words, names = (np.unique(np.concatenate([_view(r[x], "<u8") for r in rows])) for x in ("words", "names"))
+    keys, train = [], []
+    for r in rows:
+        word, context = _asked(r, words, names)
+        own = _view(r["train"], "<u4")
+        keys.append((word * len(names) + context)[own > 0])
+        train.append(own[own > 0])
+    types, at = np.unique(np.concatenate(keys), return_inverse=True)
+    count = np.bincount(at, np.concatenate(train), minlength=len(types)).astype(np.int64)
+    return {"words": words, "names": names, "word": types // len(names), "context": types % len(names), "count": count}
 
 
 # ---- seats -------------------------------------------------------------------------------
@@ -269,10 +305,9 @@ def reseat(count: np.ndarray, tables: np.ndarray, weight: np.ndarray, discount:
 
 
 class Totals:
-    """What all restaurants share: sizes, discounts and the tables of each context."""
+    """What all restaurants share: the parent's sizes, and discounts."""
 
-    def __init__(self, customers: np.ndarray, tables: np.ndarray, root_customers: float, root_tables: float, discounts: tuple[float, float], base: float, strength: float = 1.0):
-        self.customers, self.tables = customers.astype(float), tables.astype(float)
+    def __init__(self, root_customers: float, root_tables: float, discounts: tuple[float, float], base: float, strength: float = 1.0):
         self.root_customers, self.root_tables = float(root_customers), float(root_tables)
         self.discounts, self.base, self.strength = discounts, base, strength
 
@@ -281,106 +316,144 @@ class Totals:
         d = self.discounts[0]
         return (customers - d * tables + (self.strength + d * self.root_tables) * self.base) / (self.strength + self.root_customers)
 
-    def back(self) -> np.ndarray:
-        """The weight of the parent in each context."""
-        return (self.strength + self.discounts[1] * self.tables) / (self.strength + self.customers)
+    def back(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """The weight of the parent in contexts of these sizes."""
+        return (self.strength + self.discounts[1] * tables) / (self.strength + customers)
 
 
-_STATE = "bucket int, words binary, types binary, count binary, tables binary, root_tables binary, sums binary, roots binary, context_tables array<double>, root_customers double, root_tables_sum double, ones array<double>"
+_BLOBS = {"words": "<u8", "names": "<u8", "per_word": "<u4", "context": "<u4", "count": "<u4", "tables": "<u4", "root_tables": "<i8", "customers": "<i8", "report": "<i8", "sums": "<f4", "roots": "<f4", "backs": "<f4"}
+_STATE = f"bucket int, {', '.join(f'{x} binary' for x in _BLOBS)}, root_customers double, root_tables_sum double, ones array<double>"
 
 
-def _state_row(bucket: int, s: dict[str, np.ndarray], k: int) -> pa.RecordBatch:
-    context = s["types"] % (k + 1)
-    own = context < k
-    root = _root_customers(s, k)
-    per = np.bincount(context[own], s["tables"][own], minlength=k).astype(float)
+def _state_row(bucket: int, s: dict[str, np.ndarray], least: float) -> pa.RecordBatch:
+    own, root = _own(s, least), _root_customers(s, least)
     ones = [float((s["count"][own] == 1).sum()), float((s["count"][own] == 2).sum()), float((root == 1).sum()), float((root == 2).sum())]
-    blobs = [_pack(s[x]) for x in ("words", "types", "count", "tables", "root_tables", "sums", "roots")]
+    s = s | {"per_word": np.bincount(s["word"], minlength=len(s["words"]))}
+    blobs = [_pack(s[x].astype(kind)) for x, kind in _BLOBS.items()]
     return pa.RecordBatch.from_arrays(
-        [pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs), pa.array([per], pa.list_(pa.float64())), pa.array([float(root.sum())]), pa.array([float(s["root_tables"].sum())]), pa.array([ones], pa.list_(pa.float64()))],
+        [pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs), pa.array([float(root.sum())]), pa.array([float(s["root_tables"].sum())]), pa.array([ones], pa.list_(pa.float64()))],
         [x.split()[0] for x in _STATE.split(", ")],
     )
 
 
 def _read_state(row: dict) -> dict[str, np.ndarray]:
-    kinds = {"words": "<u8", "types": "<i8", "count": "<i8", "tables": "<i8", "root_tables": "<i8", "sums": "<f4", "roots": "<f4"}
-    return {k: _view(row[k], v) for k, v in kinds.items()}
+    s = {k: _view(row[k], v) for k, v in _BLOBS.items()}
+    s |= {k: s[k].astype(np.int64) for k in ("context", "count", "tables")}
+    return s | {"word": np.repeat(np.arange(len(s["words"])), s["per_word"])}
+
 
+def _own(s: dict[str, np.ndarray], least: float) -> np.ndarray:
+    """Types whose context has a restaurant."""
+    return (s["customers"] >= least)[s["context"]]
 
-def _root_customers(s: dict[str, np.ndarray], k: int) -> np.ndarray:
-    """Customers of each word in the parent: tables of contexts, and words after rarer ones."""
-    word, context = s["types"] // (k + 1), s["types"] % (k + 1)
-    return np.bincount(word, np.where(context < k, s["tables"], s["count"]), minlength=len(s["words"])).astype(np.int64)
 
+def _root_customers(s: dict[str, np.ndarray], least: float) -> np.ndarray:
+    """Customers of each word in the parent: tables of contexts, and words after contexts without any."""
+    return np.bincount(s["word"], np.where(_own(s, least), s["tables"], s["count"]), minlength=len(s["words"])).astype(np.int64)
 
-def _open(k: int):
+
+def _per_context(s: dict[str, np.ndarray], amounts: np.ndarray) -> np.ndarray:
+    return np.bincount(s["context"], amounts, minlength=len(s["names"])).astype(np.int64)
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge what the blocks ask for; every dish begins at one table."""
+    for bucket, rows in _groups(batches):
+        s = _merged(rows)
+        none = np.zeros(0)
+        s |= {"tables": np.ones(len(s["word"]), np.int64), "sums": np.zeros(len(s["word"])), "roots": none, "backs": none}
+        s |= {"customers": np.zeros(len(s["names"])), "root_tables": np.zeros(len(s["words"])), "report": _per_context(s, s["count"])}
+        yield _state_row(bucket, s, 1.0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _groups(batches):
-            s = _merged(rows, k)
-            s |= {"tables": np.ones(len(s["types"]), np.int64), "sums": np.zeros(len(s["types"]), np.float32), "roots": np.zeros(0, np.float32)}
-            s["root_tables"] = np.minimum(1, _root_customers(s, k))
-            yield _state_row(bucket, s, k)
 
-    return run
+_REPORTS = "bucket int, source int, names binary, report binary"
 
 
-def _sweep(totals: Totals, k: int, number: int, keep: bool, rounds: int, seed: int):
-    """Add the predictive probabilities of the state, if asked to, and sample the next one."""
+def _reports(n: int):
+    """What a bucket reports of its contexts, dealt out to the buckets where these are words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odds = [alone_odds(d) for d in totals.discounts]
         for batch in batches:
             for row in batch.to_pylist():
-                s = _read_state(row)
-                rng = np.random.default_rng([seed, number, row["bucket"]])
-                word, context = s["types"] // (k + 1), s["types"] % (k + 1)
-                own = context < k
-                root = totals.root(_root_customers(s, k), s["root_tables"])
-                if keep:
-                    p = root[word]
-                    p[own] = _within(totals, s["count"][own], s["tables"][own], context[own], p[own])
-                    s["sums"] = (s["sums"] + p).astype(np.float32)
-                    s["roots"] = np.concatenate([s["roots"], root.astype(np.float32)])
-                weight = (totals.strength + totals.discounts[1] * totals.tables)[context[own]] * root[word[own]]
-                tables = np.ones(len(word), np.int64)
-                if number:
-                    tables[own] = reseat(s["count"][own], s["tables"][own], weight, totals.discounts[1], odds[1], rng, rounds)
-                else:
-                    tables[own] = seat(s["count"][own], weight, totals.discounts[1], rng)
-                s["tables"] = tables
-                customers = _root_customers(s, k)
-                weight = np.full(len(customers), (totals.strength + totals.discounts[0] * totals.root_tables) * totals.base)
-                if number:
-                    old = np.clip(s["root_tables"], np.minimum(1, customers), customers)
-                    s["root_tables"] = np.minimum(customers, reseat(customers, old, weight, totals.discounts[0], odds[0], rng, rounds))
-                else:
-                    s["root_tables"] = seat(customers, weight, totals.discounts[0], rng)
-                yield _state_row(row["bucket"], s, k)
+                names, report = _view(row["names"], "<u8"), _view(row["report"], "<i8")
+                cut = _numbered(names, n)
+                own = np.flatnonzero(np.diff(cut))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own.astype(np.int32)), pa.array([row["bucket"]] * len(own), pa.int32()), *(pa.array([_pack(x[cut[i] : cut[i + 1]]) for i in own], pa.binary()) for x in (names, report))],
+                    [x.split()[0] for x in _REPORTS.split(", ")],
+                )
 
     return run
 
 
-def _added(k: int):
-    """The sum of the rows' lists: a row a task, so few of them reach the driver."""
+_REPLIES = "bucket int, source int, report binary"
+
+
+def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of all reports, told to each bucket that reported."""
+    for bucket, rows in _groups(batches):
+        _, turned, total = _merge(names := [_view(r["names"], "<u8") for r in rows], [_view(r["report"], "<i8") for r in rows])
+        ends = np.cumsum([0, *map(len, names)])
+        for r, a, b in zip(rows, ends, ends[1:]):
+            yield pa.RecordBatch.from_arrays([pa.array([r["source"]], pa.int32()), pa.array([bucket], pa.int32()), pa.array([_pack(total[turned[a:b]])], pa.binary())], ["bucket", "source", "report"])
+
+
+def _told(rows: list[dict]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """A bucket's state, and the totals of its contexts (replies come in the order of words)."""
+    parts = [_view(r["report"], "<i8") for r in rows if r["source"] >= 0]
+    return _read_state(next(r for r in rows if r["source"] < 0)), np.concatenate([np.zeros(0, np.int64), *parts])
+
+
+def _settle(least: float):
+    """Take the replies for the customers of the contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, some = np.zeros(k), False
-        for batch in batches:
-            column = batch.column("context_tables")
-            total += column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), k).sum(axis=0)
-            some = some or len(column) > 0
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["context_tables"])
+        for bucket, rows in _groups(batches):
+            s, s_customers = _told(rows)
+            s["customers"] = s_customers
+            s["root_tables"] = np.minimum(1, _root_customers(s, least))
+            own = _own(s, least)
+            s["report"] = _per_context(s, np.where(own, s["tables"], 0))
+            yield _state_row(bucket, s, least)
 
     return run
 
 
-def _within(totals: Totals, count: np.ndarray, tables: np.ndarray, context: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """Predictive probabilities in the contexts' restaurants."""
-    d = totals.discounts[1]
-    return (count - d * tables) / (totals.strength + totals.customers[context]) + totals.back()[context] * root
+def _sweep(totals: Totals, least: float, number: int, keep: bool, rounds: int, seed: int):
+    """Add the predictive probabilities of the state, if asked to, and sample the next one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odds = [alone_odds(d) for d in totals.discounts]
+        for bucket, rows in _groups(batches):
+            s, seated = _told(rows)
+            rng = np.random.default_rng([seed, number, bucket])
+            word, context, own = s["word"], s["context"], _own(s, least)
+            root = totals.root(_root_customers(s, least), s["root_tables"])
+            back = np.where(s["customers"] >= least, totals.back(s["customers"], seated), 1.0)
+            if keep:
+                p = root[word]
+                p[own] = (s["count"][own] - totals.discounts[1] * s["tables"][own]) / (totals.strength + s["customers"][context[own]]) + back[context[own]] * p[own]
+                s["sums"] = s["sums"] + p
+                s["roots"] = np.concatenate([s["roots"], root])
+                s["backs"] = np.concatenate([s["backs"], back])
+            weight = (totals.strength + totals.discounts[1] * seated)[context[own]] * root[word[own]]
+            tables = np.ones(len(word), np.int64)
+            if number:
+                tables[own] = reseat(s["count"][own], s["tables"][own], weight, totals.discounts[1], odds[1], rng, rounds)
+            else:
+                tables[own] = seat(s["count"][own], weight, totals.discounts[1], rng)
+            s["tables"] = tables
+            s["report"] = _per_context(s, np.where(own, tables, 0))
+            customers = _root_customers(s, least)
+            weight = np.full(len(customers), (totals.strength + totals.discounts[0] * totals.root_tables) * totals.base)
+            if number:
+                old = np.clip(s["root_tables"], np.minimum(1, customers), customers)
+                s["root_tables"] = np.minimum(customers, reseat(customers, old, weight, totals.discounts[0], odds[0], rng, rounds))
+            else:
+                s["root_tables"] = seat(customers, weight, totals.discounts[0], rng)
+            yield _state_row(bucket, s, least)
+
+    return run
 
 
 # ---- answers -----------------------------------------------------------------------------
@@ -388,27 +461,26 @@ def _within(totals: Totals, count: np.ndarray, tables: np.ndarray, context: np.n
 _ANSWERS = "block long, bucket int, a binary, b binary"
 
 
-def _answer(k: int, backs: np.ndarray):
+def _answer(samples: int):
     """Averaged probabilities of the pairs each block asked for, and its words' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        samples = len(backs)
-        weight = np.concatenate([backs, np.ones((samples, 1))], axis=1)  # context K: the parent itself
         for bucket, rows in _groups(batches):
             s = _read_state(next(r for r in rows if r["block"] is None))
-            rooms = s["roots"].reshape(samples, -1).astype(float)
-            count = np.bincount(s["types"] // (k + 1), s["count"], minlength=len(s["words"])).astype(np.int64)
+            rooms, backs = (s[x].reshape(samples, -1).astype(float) for x in ("roots", "backs"))
+            types = s["word"] * len(s["names"]) + s["context"]
+            count = np.bincount(s["word"], s["count"], minlength=len(s["words"])).astype(np.int64)
             for r in rows:
                 if r["block"] is None:
                     continue
-                at = np.searchsorted(s["words"], _view(r["words"], "<u8"))
-                keys = _keys([r], at, k)
-                found = np.minimum(np.searchsorted(s["types"], keys), max(0, len(s["types"]) - 1))
-                seen = s["types"][found] == keys if len(s["types"]) else np.zeros(len(keys), bool)
+                word, context = _asked(r, s["words"], s["names"])
+                keys = word * len(s["names"]) + context
+                found = np.minimum(np.searchsorted(types, keys), max(0, len(types) - 1))
+                seen = types[found] == keys if len(types) else np.zeros(len(keys), bool)
                 p = np.empty(len(keys), np.float64)
                 p[seen] = s["sums"][found[seen]] / samples
-                rest = keys[~seen]
-                p[~seen] = (weight[:, rest % (k + 1)] * rooms[:, rest // (k + 1)]).mean(axis=0)
+                p[~seen] = (backs[:, context[~seen]] * rooms[:, word[~seen]]).mean(axis=0)
+                at = np.searchsorted(s["words"], _view(r["words"], "<u8"))
                 yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([bucket], pa.int32()), pa.array([_pack(np.log10(p).astype(np.float32))], pa.binary()), pa.array([_pack(count[at])], pa.binary())], ["block", "bucket", "a", "b"])
 
     return run
@@ -417,14 +489,14 @@ def _answer(k: int, backs: np.ndarray):
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scores(contexts: np.ndarray, n_train: int, distinct: int):
+def _scores(n_train: int, distinct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
             for batch in batches:
                 yield from batch.to_pylist()
 
         def close(own: dict, parts: list[dict]) -> pa.RecordBatch:
-            words, pairs, turned, lengths = _pairs(own, contexts)
+            words, pairs, turned, lengths = _pairs(own)
             log_p = np.concatenate([_view(x["a"], "<f4") for x in parts]).astype(float)
             count = np.concatenate([_view(x["b"], "<i8") for x in parts])
             base = np.log10((count + 0.1) / (n_train + 0.1 * (distinct + 1)))
@@ -450,7 +522,7 @@ def _scores(contexts: np.ndarray, n_train: int, distinct: int):
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, share: float = 1 / 4096, burn_in: int = 3, samples: int = 3, rounds: int = 8, block_tokens: int = 1 << 20, seed: int = 11) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, share: float = 0.0, burn_in: int = 3, samples: int = 3, rounds: int = 8, block_tokens: int = 1 << 20, seed: int = 11) -> DataFrame:
     """Log probabilities of every row's whole text, and those of an add-0.1 unigram model.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.  The
@@ -465,50 +537,45 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         ((F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % folds) == 0).alias("held_out"),
         F.col(text_col).cast("string").alias("text"),
     )
+    begun = scratch.mark()
     blocks = scratch.table(rows.mapInArrow(_blocks(block_tokens), _BLOCKS), "blocks")
     size = blocks.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("blocks")).first()
     n_train = int(size["n"])
     n = max(scratch.width(spark), int(size["blocks"]))  # buckets follow the tokens
     deal = lambda df: df.repartition(n, "bucket").sortWithinPartitions("bucket")
-    counted = deal(blocks.select("words", "train").mapInArrow(_counts(n), "bucket int, words binary, train binary"))
-    found = counted.mapInArrow(_frequent(n_train * share), "distinct long, words array<long>, counts array<long>").collect()
-    distinct = sum(r["distinct"] for r in found)
-    # At most 1 / share contexts, whatever the corpus.
-    contexts = np.array([w for r in found for w in r["words"]], np.int64).view(np.uint64)
-    customers = np.array([c for r in found for c in r["counts"]], np.int64)
-    order = np.argsort(contexts)
-    contexts, customers = contexts[order], customers[order]
-    k = len(contexts)
-
-    asked = blocks.select("block", "held", "lengths", "ids", "words").mapInArrow(_requests(contexts, n), _REQUESTS)
+    counted = deal(blocks.select("block", "words", "train").mapInArrow(_counts(n), "block long, bucket int, words binary, train binary"))
+    numbers = scratch.table(counted.mapInArrow(_numbers, "block long, bucket int, numbers binary, distinct long"), "numbers")
+    distinct = int(numbers.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0])
+    by_block = lambda df: df.repartition(n, "block").sortWithinPartitions("block", "bucket")
+    both = blocks.drop("train", "n_train").withColumn("bucket", F.lit(-1)).unionByName(numbers.drop("distinct"), allowMissingColumns=True)
+    blocks = scratch.table(by_block(both).mapInArrow(_renamed, _NUMBERED), "blocks")
+    scratch.release(spark, begun, scratch.mark() - 1)
+    least = max(1.0, n_train * share)
+
+    asked = blocks.select("block", "held", "lengths", "ids", "words", "end_at").mapInArrow(_requests(n), _REQUESTS)
     start = scratch.mark()
-    state = scratch.table(deal(asked).mapInArrow(_open(k), _STATE), "seats")
-    discounts, backs = None, []
+    names = [x.split()[0] for x in _STATE.split(", ")]
+
+    def step(state: DataFrame, run: Callable) -> DataFrame:
+        """The next state, from this one and the totals of its contexts."""
+        told = deal(state.select("bucket", "names", "report").mapInArrow(_reports(n), _REPORTS)).mapInArrow(_replies, _REPLIES)
+        both = state.withColumn("source", F.lit(-1)).unionByName(told, allowMissingColumns=True).repartition(n, "bucket").sortWithinPartitions("bucket", "source")
+        following = scratch.table(both.select("source", *names).mapInArrow(run, _STATE), "seats")
+        scratch.release(spark, start, scratch.mark() - 1)
+        spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of steps that are over
+        return following
+
+    state = step(scratch.table(deal(asked).mapInArrow(_open, _STATE), "seats"), _settle(least))
+    discounts = None
     for number in range(burn_in + samples + 1):
-        tables = np.zeros(k)
-        few = state.select("context_tables").repartition(int(np.ceil(np.sqrt(n)))).mapInArrow(_added(k), "context_tables array<double>")
-        for r in few.collect():
-            tables += np.array(r["context_tables"], float)
         root = state.agg(F.sum("root_customers").alias("c"), F.sum("root_tables_sum").alias("t"), *(F.sum(F.col("ones")[i]).alias(f"o{i}") for i in range(4))).first()
         if discounts is None:  # by the numbers of dishes seen once and twice
             share_of = lambda one, two: float(np.clip((one or 0) / max(1.0, (one or 0) + 2 * (two or 0)), 0.1, 0.95))
             discounts = (share_of(root["o2"], root["o3"]), share_of(root["o0"], root["o1"]))
-        totals = Totals(customers, tables, root["c"] or 0, root["t"] or 0, discounts, 1.0 / (distinct + 1))
-        keep = number > burn_in
-        if keep:
-            backs.append(totals.back())
-        state_next = scratch.table(state.mapInArrow(_sweep(totals, k, number, keep, rounds, seed), _STATE), "seats")
-        scratch.release(spark, start, scratch.mark() - 1)
-        state = state_next
+        totals = Totals(root["c"] or 0, root["t"] or 0, discounts, 1.0 / (distinct + 1))
+        state = step(state, _sweep(totals, least, number, number > burn_in, rounds, seed))
 
-    empty = lambda *names: [F.lit(None).cast("binary").alias(x) for x in names]
-    state_columns = ["types", "count", "tables", "root_tables", "sums", "roots"]
-    both = asked.select("bucket", "block", "words", "per_word", "contexts", "train", *empty(*state_columns)).unionByName(
-        state.select("bucket", F.lit(None).cast("long").alias("block"), "words", *empty("per_word", "contexts", "train"), *state_columns)
-    )
-    answers = deal(both).mapInArrow(_answer(k, np.array(backs).reshape(samples, k)), _ANSWERS)
-    names = ["doc_ids", "held", "lengths", "ids", "words"]
-    whole = blocks.select("block", F.lit(-1).alias("bucket"), *empty("a", "b"), *names).unionByName(
-        answers.select("block", "bucket", "a", "b", F.lit(None).cast("array<long>").alias("doc_ids"), *empty(*names[1:]))
-    )
-    return whole.repartition(n, "block").sortWithinPartitions("block", "bucket").mapInArrow(_scores(contexts, n_train, distinct), _SCORES)
+    both = state.select(*names).withColumn("block", F.lit(None).cast("long")).unionByName(asked, allowMissingColumns=True)
+    answers = deal(both).mapInArrow(_answer(samples), _ANSWERS)
+    whole = blocks.withColumn("bucket", F.lit(-1)).unionByName(answers, allowMissingColumns=True)
+    return by_block(whole).mapInArrow(_scores(n_train, distinct), _SCORES)

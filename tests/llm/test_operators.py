@@ -150,6 +150,19 @@ def test_probabilities_sum_to_one(spark):
     assert total + end == pytest.approx(1.0, abs=1e-4)
 
 
+def test_rare_words_are_contexts_too(spark):
+    """In 10,000 tokens a word seen twice foretells the one that always follows it."""
+    rng = random.Random(5)
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    train, asked = ([i for i in range(5000) if held(i) == x] for x in (False, True))
+    texts = [" ".join(rng.choices([f"v{k}" for k in range(50)], k=20)) for _ in range(500)]
+    texts[:2] = [t + " rare next" for t in texts[:2]]
+    data = [*zip(train, texts), (asked[0], "rare next"), (asked[1], "rare"), (asked[2], "v1 next"), (asked[3], "v1")]
+    rows = {r["doc_id"]: r["score"] for r in language_model.score(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    # Both pairs of texts differ by p(next | context) p(end | next) / p(end | context).
+    assert rows[asked[0]] - rows[asked[1]] > rows[asked[2]] - rows[asked[3]] + 1
+
+
 def test_seats_follow_the_restaurant_s_law():
     """Tables of one dish under Gibbs steps have the mean that exact enumeration gives."""
     d, weight, c = 0.5, 0.7, 6
