@@ -3,7 +3,8 @@
 Markup is stripped to lines (one a block element).  A line counts by the length of its
 text; lines of menus, notices, adverts and the like, and lines that are mostly links,
 count nothing.  Lengths are summed over a sliding window of lines; where the sum surges
-text begins, where it dives it ends, and what lies between is kept.
+text begins, where it dives it ends, and what lies between is kept.  Article elements are
+a hint: where the page's largest sum lies in one, short runs in articles are kept too.
 """
 
 from __future__ import annotations
@@ -54,6 +55,8 @@ def _is_furniture(name: str, attributes: str, inside: bool) -> bool:
         elif kind == "hidden" or kind == "aria-hidden":
             if value != "false":
                 return True
+        elif name == "article" and any(_NAMES.fullmatch(x) for x in value.split()):
+            return True
         elif name not in ("article", "main", "body", "html") and _NAMES.search(value):
             return True
         elif name not in ("article", "main", "body", "html") and not inside and _HEADS.search(value):
@@ -136,13 +139,13 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     every = lines(page)
-    marked = any(x[2] and not x[3] and x[0] for x in every)
     sizes = []
     for text, linked, inside, furniture, _ in every:
-        counts = not furniture and (inside if marked else linked * 2 <= len(text))
+        counts = not furniture and (inside or linked * 2 <= len(text))
         sizes.append(len(text) if counts else 0)
     sums = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
-    least = 0 if marked or not sums else min(SURGE, SURGE_PART * max(sums))
+    peak = max(sums, default=0)
+    least = min(SURGE, SURGE_PART * peak)
     runs: list[tuple[int, int]] = []
     i = 0
     while i < len(sums):
@@ -153,7 +156,10 @@ def main_text(page: str | None) -> str:
             runs.append((i, dive))
         i = dive + 1
     # A run beside a surge in the same block belongs to it: furniture stood between them.
-    surged = [max(sums[a:b]) >= least for a, b in runs]
+    tops = [max(sums[a:b]) for a, b in runs]
+    inside = [any(every[j][2] for j in range(a, b) if sizes[j]) for a, b in runs]
+    hinted = any(x and top == peak for x, top in zip(inside, tops))
+    surged = [top >= least or (x and hinted) for x, top in zip(inside, tops)]
     blocks = {every[j][4] for (a, b), yes in zip(runs, surged) if yes for j in range(a, b) if sizes[j]} - {0}
     kept = [every[j][0] for (a, b), yes in zip(runs, surged) for j in range(a, b) if sizes[j] and (yes or every[j][4] in blocks)]
     return "\n".join(kept)

@@ -239,6 +239,13 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+def test_text_beside_an_article():
+    body = ("word " * 60).strip()
+    assert html_text.main_text(f"<div><p>{body}</p></div><article class=comment><p>{'nice ' * 50}</p></article>") == body
+    assert html_text.main_text(f"<div><p>{body}</p></div><article><p>Read more</p></article>") == body
+    assert html_text.main_text(f"<article><p>{body}</p><nav>n</nav><p>end</p></article><div><p>(c)</p></div>") == f"{body}\nend"
+
+
 def test_pages(spark):
     rows = [(1, "u", "<p>x</p>", "clash"), (1, "u", "<p>x</p>", "clash"), (None, None, None, None)]
     found = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
