@@ -1,82 +1,92 @@
-"""Scoring of texts by a hierarchical Pitman-Yor model of words.
-
-Every training word is a context and has its own restaurant of the words that follow it
-(a ``share`` above 0 asks for that part of the training tokens); all of them share one
-parent restaurant, whose base is uniform over the vocabulary and one unknown word.
-Customers are words, tables send one customer each to the parent.  Seating is sampled by
-Gibbs: customers are taken out and seated anew given all others.  The seatings of a sweep
-give predictive probabilities, which are averaged.
-
-Nothing is kept word by word: texts become blocks of word numbers; a block asks for the
-(word, context) pairs it holds; pairs are dealt out by word to buckets, where counts are
-merged and seats are sampled; and each bucket answers the blocks.  A frequent word is one
-row a block, so no bucket grows with its count.  Contexts are added up where they live as
-words: before a sweep each bucket sends there what it seats of its contexts, and is told
-the totals.  Only a few sums a bucket go through the driver.
+"""Scoring of texts by a hierarchical Pitman-Yor model of words, three levels deep.
+
+Every pair of training words that stand side by side is a context with a restaurant of the
+words that follow it.  Its parent is the restaurant of the last word alone, whose parent is
+one restaurant of all words, whose base is uniform over the vocabulary and one unknown word.
+Customers are words; every table sends a customer to the parent.  Seats are sampled by Gibbs
+(:mod:`.seating`), and predictive probabilities are averaged over samples.
+
+Texts become blocks of word numbers.  A block sends the distinct triples (two words and the
+next) that it holds, once, to the groups of their middle restaurants; a block fills at most
+as many messages as it has such restaurants, so messages follow tokens.  A group holds whole
+middle restaurants with all restaurants below, so nothing but the top restaurant is shared
+between tasks.  A sweep seats each group anew under the top as the last sweep left it, and
+reports the customers that it sends there; these are added up and seated by word.  In the
+last sweep each group answers the blocks with averaged probabilities.
+
+A word of more than ``part_tokens`` training tokens has several middle restaurants, one for
+each part of the words before it, so no restaurant outgrows a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch, textops
+from .seating import Hierarchy, Seats, first_tables
 
-#: Number of the end token's hash; words hash to anything else with all but certainty.
-END = np.uint64(0x9E3779B97F4A7C15)
-_STIRLING = 96
+#: The end of a text as a word; no word holds a space.
+END = b" "
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Discounts and strengths of the levels, top first, that the first sweep starts from.
+START = ((0.6, 0.75, 0.85), (1.0, 1.0, 1.0))
+#: Words of all blocks that one task numbers.
+_ENTRIES = 1 << 20
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """An array as compressed bytes behind their plain size; sorted words (64 bits) as differences."""
-    if values.dtype == np.uint64:
-        values = np.diff(values, prepend=np.uint64(0))
-    raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()  # bytes of one weight side by side
-    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed blob: lengths, then bytes of equal weight side by side."""
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in arrays]
+    raw = b"".join([np.array([len(arrays), *map(len, arrays)], "<i8").tobytes(), *planes])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _view(raw: bytes, kind: str) -> np.ndarray:
-    size = int.from_bytes(raw[:8], "little")
-    flat = np.frombuffer(pa.decompress(raw[8:], decompressed_size=size, codec="zstd") if size else b"", dtype=np.uint8)
-    values = np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-    return np.cumsum(values, dtype=np.uint64) if kind == "<u8" else values
+def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd"), np.uint8)
+    sizes = raw[8 : 8 + 8 * len(kinds)].view("<i8")
+    out, at = [], 8 + 8 * len(kinds)
+    for kind, n in zip(kinds, sizes.tolist()):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, -1).T).view(kind).ravel())
+        at += n * width
+    return out
 
 
 # ---- texts to blocks ---------------------------------------------------------------------
 
-_BLOCKS = "block long, doc_ids array<long>, held binary, lengths binary, ids binary, words binary, train binary, n_train long"
+_BLOCKS = "block long, texts binary, words array<binary>, train array<int>"
 
 
 def _blocks(block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         base, number = TaskContext.get().partitionId() << 32, 0
         names, held, counts, flat, sizes, size = [], [], [], [], [], 0
 
-        def close() -> Iterator[pa.RecordBatch]:
+        def close() -> pa.RecordBatch:
             nonlocal number, names, held, counts, flat, sizes, size
             n, own = np.concatenate(counts), np.concatenate(held)
-            ends = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
-            coded = textops.binary_array(np.concatenate(flat), ends).dictionary_encode()
-            digest = xxhash.xxh3_64_intdigest
-            hashes = np.fromiter((digest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-            words, turned = np.unique(np.append(hashes, END), return_inverse=True)
-            ids = np.full(len(coded) + len(n), turned[-1], np.uint32)
+            coded = textops.binary_array(np.concatenate(flat), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))).dictionary_encode()
+            ids = np.full(len(coded) + len(n), len(coded.dictionary), np.uint32)
             last = np.cumsum(n + 1) - 1
-            ids[textops.ragged(last - n, n)] = turned[:-1][coded.indices.to_numpy(zero_copy_only=False)]
-            train = np.bincount(ids[np.repeat(~own, n + 1)], minlength=len(words)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([base + number], pa.int64()), pa.array([names], pa.list_(pa.int64())), *(pa.array([_pack(x)], pa.binary()) for x in (own, (n + 1).astype(np.int32), ids, words, train)), pa.array([int(train.sum())], pa.int64())],
-                ["block", "doc_ids", "held", "lengths", "ids", "words", "train", "n_train"],
+            ids[textops.ragged(last - n, n)] = coded.indices.to_numpy(zero_copy_only=False)
+            train = np.bincount(ids[np.repeat(~own, n + 1)], minlength=len(coded.dictionary) + 1).astype(np.int32)
+            words = pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([END], pa.binary())])
+            some = pa.concat_arrays(names)
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([base + number], pa.int64()), pa.array([_pack(pc.fill_null(some, 0).to_numpy(), some.is_valid().to_numpy(zero_copy_only=False), own, (n + 1).astype(np.int32), ids)], pa.binary()), one(words), one(pa.array(train))],
+                [x.split()[0] for x in _BLOCKS.split(", ")],
             )
             number += 1
             names, held, counts, flat, sizes, size = [], [], [], [], [], 0
+            return out
 
         for batch in batches:
             for part in textops.pieces(batch, "text", 2 << 20):
@@ -85,451 +95,345 @@ def _blocks(block_tokens: int):
                 flat.append(textops.LOWER[data[textops.ragged(starts, ends - starts)]])
                 sizes.append(ends - starts)
                 counts.append(np.diff(at))
-                names += part.column("doc_id").to_pylist()
+                names.append(part.column("doc_id"))
                 held.append(part.column("held_out").to_numpy(zero_copy_only=False).astype(bool))
                 size += len(starts) + len(off) - 1
                 if size >= block_tokens:
-                    yield from close()
+                    yield close()
         if names:
-            yield from close()
+            yield close()
 
     return run
 
 
-def _buckets(words: np.ndarray, n: int) -> np.ndarray:
-    """First word of each of ``n`` buckets by leading bits (words are sorted), one more at the end."""
-    return np.searchsorted((words >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), np.arange(n + 1))
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of the words among those of a partition, and their training counts."""
+    held = list(batches)  # a partition has a bounded part of the words, see score()
+    if not held:
+        return
+    own = TaskContext.get().partitionId()
+    coded = pa.chunked_array([b.column("word") for b in held]).combine_chunks().dictionary_encode()
+    place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    train = np.concatenate([b.column("train").to_numpy(zero_copy_only=False) for b in held])
+    count = np.bincount(place, train, minlength=len(coded.dictionary)).astype(np.int64)
+    first = np.zeros(len(place), bool)
+    first[np.unique(place, return_index=True)[1]] = True
+    at = 0
+    for batch in held:
+        pick = slice(at, at := at + len(batch))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("block"), batch.column("idx"), pa.array(np.full(len(batch), own, np.int32)), pa.array(place[pick]), pa.array(count[place[pick]]), pa.array(first[pick])], ["block", "idx", "pid", "place", "count", "first"]
+        )
 
 
-def _numbered(numbers: np.ndarray, n: int) -> np.ndarray:
-    """The same of numbered words, whose upper half is the bucket."""
-    return np.searchsorted(numbers, np.arange(n + 1, dtype=np.uint64) << np.uint64(32))
+_NAMED = "block long, texts binary, words binary"
 
 
-def _counts(n: int):
-    """Training counts of a block's words, dealt out by bucket."""
+def _named(offsets: np.ndarray):
+    """Blocks with numbers and training counts of their words, from all rows of some blocks.
+
+    The lowest two bits of a number tell whether the word occurs never, once or more often.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, columns = [], [[], [], [], []]
         for batch in batches:
-            for block, words, train in zip(*(batch.column(x).to_pylist() for x in ("block", "words", "train"))):
-                words, train = _view(words, "<u8"), _view(train, "<u4")
-                cut = _buckets(words, n)
-                own = np.flatnonzero(np.diff(cut))  # buckets that the block has words of
-                parts = [(cut[i], cut[i + 1]) for i in own]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(own), pa.int64()), pa.array(own.astype(np.int32)), *(pa.array([_pack(x[a:b]) for a, b in parts], pa.binary()) for x in (words, train))],
-                    ["block", "bucket", "words", "train"],
-                )
+            own = batch.column("texts").is_valid().to_numpy(zero_copy_only=False)
+            blocks += batch.filter(pa.array(own)).select(["block", "texts"]).to_pylist()
+            rest = batch.filter(pa.array(~own))
+            pid = rest.column("pid").to_numpy(zero_copy_only=False)
+            for store, x in zip(columns, (rest.column("block"), rest.column("idx"), rest.column("place"), rest.column("count"))):
+                store.append(x.to_numpy(zero_copy_only=False))
+            columns[2][-1] = (offsets[pid] + columns[2][-1]) << 2 | np.minimum(columns[3][-1], 2)
+        if not blocks:
+            return
+        block, idx, number, count = (np.concatenate(x) for x in columns)
+        for row in blocks:
+            mine = np.flatnonzero(block == row["block"])
+            mine = mine[np.argsort(idx[mine])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row["block"]], pa.int64()), pa.array([row["texts"]], pa.binary()), pa.array([_pack(number[mine], count[mine])], pa.binary())],
+                [x.split()[0] for x in _NAMED.split(", ")],
+            )
 
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """Rows of a stream sorted by bucket (or block), one group at a time."""
-    now, held = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if now is not None and row["bucket"] != now:
-                yield now, held
-                held = []
-            now = row["bucket"]
-            held.append(row)
-    if held:
-        yield now, held
-
-
-def _merge(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    own, turned = np.unique(np.concatenate(words), return_inverse=True)
-    return own, turned, np.bincount(turned, np.concatenate(counts), minlength=len(own)).astype(np.int64)
-
-
-def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers of the words, in their order, for each block; training words are counted once a bucket."""
-    for bucket, rows in _groups(batches):
-        _, turned, count = _merge(words := [_view(r["words"], "<u8") for r in rows], [_view(r["train"], "<u4") for r in rows])
-        numbers = turned.astype(np.uint64) | np.uint64(bucket) << np.uint64(32)
-        distinct, a = int((count > 0).sum()), 0
-        for r, own in zip(rows, words):
-            blob = _pack(numbers[a : a + len(own)])
-            yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary()), pa.array([distinct], pa.int64())], ["block", "bucket", "numbers", "distinct"])
-            distinct, a = 0, a + len(own)
-
-
-_NUMBERED = "block long, doc_ids array<long>, held binary, lengths binary, ids binary, words binary, end_at long"
-
-
-def _renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks with numbers for the hashes of their words."""
-
-    def close(own: dict, parts: list[bytes]) -> pa.RecordBatch:
-        end = int(np.searchsorted(_view(own["words"], "<u8"), END))
-        words = _pack(np.concatenate([_view(x, "<u8") for x in parts]))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([own["block"]], pa.int64()), pa.array([own["doc_ids"]], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (own["held"], own["lengths"], own["ids"], words)), pa.array([end], pa.int64())],
-            [x.split()[0] for x in _NUMBERED.split(", ")],
-        )
-
-    own, parts = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["bucket"] < 0:
-                if own is not None:
-                    yield close(own, parts)
-                own, parts = row, []
-            else:
-                parts.append(row["numbers"])
-    if own is not None:
-        yield close(own, parts)
-
-
-# ---- pairs -------------------------------------------------------------------------------
-
-
-def _pairs(row: dict) -> tuple[np.ndarray, ...]:
-    """A block's words, its distinct pairs ``word * W + context`` in order, each token's pair, and lengths."""
-    words, ids = _view(row["words"], "<u8"), _view(row["ids"], "<u4").astype(np.int64)
-    lengths = _view(row["lengths"], "<i4").astype(np.int64)
-    before = np.empty(len(ids), np.int64)
-    before[1:] = ids[:-1]
-    before[np.cumsum(lengths) - lengths] = row["end_at"]
-    pairs, turned = np.unique(ids * len(words) + before, return_inverse=True)
-    return words, pairs, turned, lengths
-
-
-_REQUESTS = "bucket int, block long, words binary, per_word binary, names binary, contexts binary, train binary"
-
-
-def _requests(n: int):
-    """The pairs of each block, dealt out by word; ``contexts`` are places in ``names``."""
-
+# ---- messages ----------------------------------------------------------------------------
+
+
+def _sorted_unique(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct rows in order, by column, and the row of each entry."""
+    key = columns[0].astype(np.int64)
+    turned = None
+    for column in columns[1:]:
+        width = int(column.max(initial=0)) + 1
+        if int(key.max(initial=0)) >= (1 << 62) // width:  # number what there is, to make room
+            own, key = np.unique(key, return_inverse=True)
+        key = key * width + column
+    _, at, turned = np.unique(key, return_index=True, return_inverse=True)
+    return *(c[at] for c in columns), turned
+
+
+class Block:
+    """The distinct triples of a block in the order of its messages, and where each token's is."""
+
+    def __init__(self, row: dict, groups: int, part_tokens: int):
+        ids, valid, self.held, self.lengths, tokens = _unpack(row["texts"], "<i8", "?", "?", "<i4", "<u4")
+        self.doc_ids = pa.array(ids, mask=~valid)
+        self.numbers, self.counts = _unpack(row["words"], "<i8", "<i8")
+        self.ids, end = tokens.astype(np.int64), len(self.numbers) - 1
+        lengths = self.lengths.astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        one, two = np.empty(len(tokens), np.int64), np.empty(len(tokens), np.int64)
+        one[1:], two[2:] = self.ids[:-1], self.ids[:-2]
+        one[starts], two[starts], two[starts[lengths > 1] + 1] = end, end, end
+        v, u, w, turned = _sorted_unique(one, two, self.ids)
+        parts = 1 + self.counts // part_tokens
+        mixed = ((self.numbers.astype(np.uint64) * _MIX) >> np.uint64(33)).astype(np.int64)
+        room = (self.numbers[v] << 20) | np.minimum(mixed[u] % parts[v], (1 << 20) - 1)
+        group = ((((room.astype(np.uint64) * _MIX) >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        self.group, self.room, self.u, self.w = group[order], room[order], self.numbers[u[order]], self.numbers[w[order]]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.turned = back[turned]
+
+    def messages(self) -> Iterator[tuple[int, bytes]]:
+        """For each group its triples as runs: rooms, words before, words, and training counts."""
+        known = np.repeat(~self.held, self.lengths)
+        train = np.bincount(self.turned[known], minlength=len(self.room)).astype(np.uint32)
+        new_room = np.ones(len(self.room), bool)
+        new_room[1:] = (self.room[1:] != self.room[:-1]) | (self.group[1:] != self.group[:-1])
+        new_u = new_room.copy()
+        new_u[1:] |= self.u[1:] != self.u[:-1]
+        at_u, at_room = np.flatnonzero(new_u), np.flatnonzero(new_room)
+        n_u = np.diff(np.append(at_u, len(self.u))).astype(np.uint32)
+        n_room = np.diff(np.append(np.searchsorted(at_u, at_room), len(at_u))).astype(np.uint32)
+        cut = np.flatnonzero(np.diff(self.group, prepend=-1))
+        ends = np.append(cut[1:], len(self.group))
+        for a, b, c, d, e, f in zip(cut, ends, np.searchsorted(at_u, cut), np.searchsorted(at_u, ends), np.searchsorted(at_room, cut), np.searchsorted(at_room, ends)):
+            yield int(self.group[a]), _pack(self.room[at_room[e:f]], n_room[e:f], self.u[at_u[c:d]], n_u[c:d], self.w[a:b], train[a:b])
+
+
+def _ask(groups: int, part_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                words, pairs, turned, lengths = _pairs(row)
-                known = np.repeat(~_view(row["held"], "?"), lengths)
-                train = np.bincount(turned[known], minlength=len(pairs)).astype(np.uint32)
-                word, context = pairs // len(words), pairs % len(words)
-                per = np.bincount(word, minlength=len(words)).astype(np.uint32)
-                cut = _numbered(words, n)
-                cut_pairs = np.searchsorted(word, cut)
-                own = np.flatnonzero(np.diff(cut))
-                blobs = []
-                for i in own:
-                    a, b, c, d = cut[i], cut[i + 1], cut_pairs[i], cut_pairs[i + 1]
-                    names, at = np.unique(context[c:d], return_inverse=True)
-                    blobs.append([_pack(x) for x in (words[a:b], per[a:b], words[names], at.astype(np.uint32), train[c:d])])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own.astype(np.int32)), pa.array([row["block"]] * len(own), pa.int64()), *(pa.array([x[i] for x in blobs], pa.binary()) for i in range(5))],
-                    [x.split()[0] for x in _REQUESTS.split(", ")],
-                )
+                sent = list(Block(row, groups, part_tokens).messages())
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(sent), pa.int64()), pa.array([x[0] for x in sent], pa.int32()), pa.array([x[1] for x in sent], pa.binary())], ["block", "g", "triples"])
 
     return run
 
 
-def _asked(row: dict, words: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a request's pairs in a bucket's words and contexts."""
-    word = np.repeat(np.searchsorted(words, _view(row["words"], "<u8")), _view(row["per_word"], "<u4"))
-    return word, np.searchsorted(names, _view(row["names"], "<u8"))[_view(row["contexts"], "<u4")]
+# ---- sweeps ------------------------------------------------------------------------------
 
 
-def _merged(rows: list[dict]) -> dict[str, np.ndarray]:
-    """Words, contexts and pair types of a bucket with their training counts; types have a count above 0."""
-    words, names = (np.unique(np.concatenate([_view(r[x], "<u8") for r in rows])) for x in ("words", "names"))
-    keys, train = [], []
-    for r in rows:
-        word, context = _asked(r, words, names)
-        own = _view(r["train"], "<u4")
-        keys.append((word * len(names) + context)[own > 0])
-        train.append(own[own > 0])
-    types, at = np.unique(np.concatenate(keys), return_inverse=True)
-    count = np.bincount(at, np.concatenate(train), minlength=len(types)).astype(np.int64)
-    return {"words": words, "names": names, "word": types // len(names), "context": types % len(names), "count": count}
+class Top:
+    """The top restaurant: its sizes, and what all levels are set to."""
 
+    def __init__(self, customers: float, tables: float, words: int, discounts: tuple[float, ...], strengths: tuple[float, ...]):
+        self.customers, self.tables, self.base = float(customers), float(tables), 1.0 / (words + 1)
+        self.discounts, self.strengths = discounts, strengths
 
-# ---- seats -------------------------------------------------------------------------------
+    def probability(self, customers, tables):
+        """Predictive probabilities of words; for numbers, arrays and columns alike."""
+        d, s = self.discounts[0], self.strengths[0]
+        return (customers - tables * d + (s + d * self.tables) * self.base) / (s + self.customers)
 
 
-def alone_odds(discount: float, most: int = _STIRLING) -> np.ndarray:
-    """Chance that one of c customers at t tables sits alone, for c and t up to ``most``.
+def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """``(shard, group, blocks, blobs, words, probabilities)``, one group of a partition at a time.
 
-    It is the ratio of generalised Stirling numbers S(c-1, t-1) / S(c, t), where
-    S(c, t) = S(c-1, t-1) + (c - 1 - discount * t) * S(c-1, t).
+    Rows are sorted by shard and group; a shard's words come first, as group -1.
     """
-    log = np.full((most + 1, most + 1), -np.inf)
-    log[0, 0] = 0.0
-    odds = np.zeros((most + 1, most + 1))
-    for c in range(1, most + 1):
-        t = np.arange(1, c + 1)
-        grow = log[c - 1, t] + np.log(np.maximum(c - 1 - discount * t, 1e-300))
-        log[c, t] = np.logaddexp(log[c - 1, t - 1], np.where(t <= c - 1, grow, -np.inf))
-        odds[c, t] = np.exp(log[c - 1, t - 1] - log[c, t])
-    return odds
-
-
-def seat(count: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after seating the customers of each dish one after another.
-
-    ``weight`` is what a new table weighs beside the seated customers.  Beyond the first
-    few, customers come in groups of an eighth of those seated.
-    """
-    tables, seated = np.minimum(count, 1).astype(np.int64), np.minimum(count, 1).astype(np.int64)
-    live = np.flatnonzero(count > 1)
-    while len(live):
-        n, t, w = seated[live], tables[live], weight[live]
-        group = np.minimum(np.maximum(1, n // 8), count[live] - n)
-        tables[live] = t + rng.binomial(group, w / (n - discount * t + w))
-        seated[live] = n + group
-        live = live[seated[live] < count[live]]
-    return tables
-
-
-def reseat(count: np.ndarray, tables: np.ndarray, weight: np.ndarray, discount: float, odds: np.ndarray, rng: np.random.Generator, rounds: int) -> np.ndarray:
-    """Gibbs steps: in each round every dish takes customers out and seats them anew.
-
-    One customer at a time leaves up to ``len(odds) - 1`` customers; of larger dishes a
-    64th leave together, alone with the chance discount * tables / customers.
-    """
-    tables = tables.copy()
-    top = len(odds) - 1
-    few, lots = np.flatnonzero((count > 1) & (count <= top)), np.flatnonzero(count > top)
-    for _ in range(rounds):
-        c, t, w = count[few], tables[few], weight[few]
-        t = t - (rng.random(len(few)) < odds[c, t])
-        new = rng.random(len(few)) * (c - 1 - discount * t + w) < w
-        tables[few] = np.maximum(1, t + (new | (t == 0)))
-        c, t, w = count[lots], tables[lots], weight[lots]
-        group = np.maximum(1, c // 64)
-        t = np.maximum(1, t - rng.binomial(group, np.minimum(1.0, discount * t / c)))
-        tables[lots] = np.minimum(c, t + rng.binomial(group, w / (c - group - discount * t + w)))
-    return tables
-
-
-class Totals:
-    """What all restaurants share: the parent's sizes, and discounts."""
-
-    def __init__(self, root_customers: float, root_tables: float, discounts: tuple[float, float], base: float, strength: float = 1.0):
-        self.root_customers, self.root_tables = float(root_customers), float(root_tables)
-        self.discounts, self.base, self.strength = discounts, base, strength
-
-    def root(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        """Predictive probabilities of the parent restaurant."""
-        d = self.discounts[0]
-        return (customers - d * tables + (self.strength + d * self.root_tables) * self.base) / (self.strength + self.root_customers)
-
-    def back(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        """The weight of the parent in contexts of these sizes."""
-        return (self.strength + self.discounts[1] * tables) / (self.strength + customers)
-
-
-_BLOBS = {"words": "<u8", "names": "<u8", "per_word": "<u4", "context": "<u4", "count": "<u4", "tables": "<u4", "root_tables": "<i8", "customers": "<i8", "report": "<i8", "sums": "<f4", "roots": "<f4", "backs": "<f4"}
-_STATE = f"bucket int, {', '.join(f'{x} binary' for x in _BLOBS)}, root_customers double, root_tables_sum double, ones array<double>"
-
-
-def _state_row(bucket: int, s: dict[str, np.ndarray], least: float) -> pa.RecordBatch:
-    own, root = _own(s, least), _root_customers(s, least)
-    ones = [float((s["count"][own] == 1).sum()), float((s["count"][own] == 2).sum()), float((root == 1).sum()), float((root == 2).sum())]
-    s = s | {"per_word": np.bincount(s["word"], minlength=len(s["words"]))}
-    blobs = [_pack(s[x].astype(kind)) for x, kind in _BLOBS.items()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs), pa.array([float(root.sum())]), pa.array([float(s["root_tables"].sum())]), pa.array([ones], pa.list_(pa.float64()))],
-        [x.split()[0] for x in _STATE.split(", ")],
-    )
-
+    words, chances, blocks, blobs, now = [], [], [], [], None
 
-def _read_state(row: dict) -> dict[str, np.ndarray]:
-    s = {k: _view(row[k], v) for k, v in _BLOBS.items()}
-    s |= {k: s[k].astype(np.int64) for k in ("context", "count", "tables")}
-    return s | {"word": np.repeat(np.arange(len(s["words"])), s["per_word"])}
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        if len(words) != 1:
+            w, p = np.concatenate([np.zeros(0, np.int64), *words]), np.concatenate([np.zeros(0), *chances])
+            turn = np.argsort(w)
+            words[:], chances[:] = [w[turn]], [p[turn]]
+        return words[0], chances[0]
 
-
-def _own(s: dict[str, np.ndarray], least: float) -> np.ndarray:
-    """Types whose context has a restaurant."""
-    return (s["customers"] >= least)[s["context"]]
-
-
-def _root_customers(s: dict[str, np.ndarray], least: float) -> np.ndarray:
-    """Customers of each word in the parent: tables of contexts, and words after contexts without any."""
-    return np.bincount(s["word"], np.where(_own(s, least), s["tables"], s["count"]), minlength=len(s["words"])).astype(np.int64)
-
-
-def _per_context(s: dict[str, np.ndarray], amounts: np.ndarray) -> np.ndarray:
-    return np.bincount(s["context"], amounts, minlength=len(s["names"])).astype(np.int64)
-
-
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge what the blocks ask for; every dish begins at one table."""
-    for bucket, rows in _groups(batches):
-        s = _merged(rows)
-        none = np.zeros(0)
-        s |= {"tables": np.ones(len(s["word"]), np.int64), "sums": np.zeros(len(s["word"])), "roots": none, "backs": none}
-        s |= {"customers": np.zeros(len(s["names"])), "root_tables": np.zeros(len(s["words"])), "report": _per_context(s, s["count"])}
-        yield _state_row(bucket, s, 1.0)
-
-
-_REPORTS = "bucket int, source int, names binary, report binary"
-
-
-def _reports(n: int):
-    """What a bucket reports of its contexts, dealt out to the buckets where these are words."""
+    for batch in batches:
+        s, g = batch.column("s").to_numpy(zero_copy_only=False), batch.column("g").to_numpy(zero_copy_only=False)
+        if not len(s):
+            continue
+        cuts = [0, *(np.flatnonzero((s[1:] != s[:-1]) | (g[1:] != g[:-1])) + 1).tolist(), len(s)]
+        for a, b in zip(cuts, cuts[1:]):
+            if now != (s[a], g[a]):
+                if now is not None and now[1] >= 0:
+                    yield *now, blocks, blobs, *merged()
+                if now is None or now[0] != s[a]:
+                    words, chances = [], []
+                now, blocks, blobs = (int(s[a]), int(g[a])), [], []
+            if g[a] < 0:
+                words.append(batch.column("w")[a:b].to_numpy(zero_copy_only=False))
+                chances.append(batch.column("p")[a:b].to_numpy(zero_copy_only=False))
+            else:
+                blocks += batch.column("block")[a:b].to_pylist()
+                blobs += batch.column("triples")[a:b].to_pylist()
+    if now is not None and now[1] >= 0:
+        yield *now, blocks, blobs, *merged()
+
+
+def _opened(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Room, word before, word and training count of all triples of some messages, and their ends."""
+    out, ends = [[], [], [], []], [0]
+    for blob in blobs:
+        room, n_room, u, n_u, w, train = _unpack(blob, "<i8", "<u4", "<i8", "<u4", "<i8", "<u4")
+        for store, x in zip(out, (np.repeat(np.repeat(room, n_room), n_u), np.repeat(u, n_u), w, train)):
+            store.append(x)
+        ends.append(ends[-1] + len(w))
+    return *(np.concatenate(x) for x in out), np.array(ends)
+
+
+def _seat(blobs: list[bytes], words: np.ndarray, chances: np.ndarray, top: Top | None, seed: list[int]) -> tuple:
+    """A group's hierarchy, the lowest dish of each triple, ends of messages, and the words of middle dishes."""
+    room, u, w, train, ends = _opened(blobs)
+    (rooms, room), (before, u), (names, w) = (np.unique(x, return_inverse=True) for x in (room, u, w))
+    room, u, w, turned = _sorted_unique(room, u, w)
+    count = np.bincount(turned, train, minlength=len(room)).astype(np.int64)
+    low = np.concatenate(([0], np.cumsum((room[1:] != room[:-1]) | (u[1:] != u[:-1]))))
+    middle, word, upper = _sorted_unique(room, w)
+    rng = np.random.default_rng(seed)
+    if top is None:  # the first sweep knows the top from its own group alone
+        c = np.bincount(word, np.bincount(upper, count, minlength=len(word)) > 0, minlength=len(names))
+        top = Top(c.sum(), (c > 0).sum(), len(names), *START)
+        parent = top.probability(c, np.minimum(c, 1))
+    else:
+        parent = top.probability((names & 3).astype(float), (names & 3).astype(float))  # right for words seen never or once
+        many = np.flatnonzero((names & 3) == 2)
+        parent[many] = chances[np.searchsorted(words, names[many])]
+    own = Hierarchy(count, upper, low, middle, parent[word], top.discounts[1:], top.strengths[1:], rng)
+    return own, turned, ends, names[word]
+
+
+_REPORTS = "s int, w long, n long, x array<double>"
+
+
+def _report(top: Top | None, rounds: int, number: int, seed: int):
+    """Customers that each shard sends to the top, for words seen more than once; hints of the levels as word -level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                names, report = _view(row["names"], "<u8"), _view(row["report"], "<i8")
-                cut = _numbered(names, n)
-                own = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own.astype(np.int32)), pa.array([row["bucket"]] * len(own), pa.int32()), *(pa.array([_pack(x[cut[i] : cut[i + 1]]) for i in own], pa.binary()) for x in (names, report))],
-                    [x.split()[0] for x in _REPORTS.split(", ")],
-                )
-
-    return run
-
-
-_REPLIES = "bucket int, source int, report binary"
+        now, words, sent, hints = None, [], [], {}
 
+        def close() -> Iterator[pa.RecordBatch]:
+            names, turned = np.unique(np.concatenate(words), return_inverse=True)
+            n = np.bincount(turned, np.concatenate(sent), minlength=len(names)).astype(np.int64)
+            for lo in range(0, len(names), 1 << 16):
+                w = names[lo : lo + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), now, np.int32)), pa.array(w), pa.array(n[lo : lo + len(w)]), pa.nulls(len(w), pa.list_(pa.float64()))], ["s", "w", "n", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([now] * len(hints), pa.int32()), pa.array([-k for k in hints], pa.int64()), pa.array([0] * len(hints), pa.int64()), pa.array([list(x) for x in hints.values()], pa.list_(pa.float64()))], ["s", "w", "n", "x"])
+
+        for s, g, _, blobs, own_words, chances in _group_rows(batches):
+            if now is not None and s != now:
+                yield from close()
+                words, sent, hints = [], [], {}
+            now = s
+            own, _, _, names = _seat(blobs, own_words, chances, top, [seed, number, g])
+            for _ in range(rounds):
+                own.round()
+            many = (names & 3) == 2
+            words.append(names[many])
+            sent.append(own.mid.t[many])
+            for level, x in own.hints().items():
+                hints[level] = np.array(x) + hints.get(level, 0.0)
+        if now is not None:
+            yield from close()
 
-def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sums of all reports, told to each bucket that reported."""
-    for bucket, rows in _groups(batches):
-        _, turned, total = _merge(names := [_view(r["names"], "<u8") for r in rows], [_view(r["report"], "<i8") for r in rows])
-        ends = np.cumsum([0, *map(len, names)])
-        for r, a, b in zip(rows, ends, ends[1:]):
-            yield pa.RecordBatch.from_arrays([pa.array([r["source"]], pa.int32()), pa.array([bucket], pa.int32()), pa.array([_pack(total[turned[a:b]])], pa.binary())], ["bucket", "source", "report"])
+    return run
 
 
-def _told(rows: list[dict]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """A bucket's state, and the totals of its contexts (replies come in the order of words)."""
-    parts = [_view(r["report"], "<i8") for r in rows if r["source"] >= 0]
-    return _read_state(next(r for r in rows if r["source"] < 0)), np.concatenate([np.zeros(0, np.int64), *parts])
+_ANSWERS = "block long, g int, logs binary"
 
 
-def _settle(least: float):
-    """Take the replies for the customers of the contexts."""
+def _answer(top: Top, rounds: int, samples: int, apart: int, number: int, seed: int):
+    """Logarithms of the averaged probabilities of each message's triples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _groups(batches):
-            s, s_customers = _told(rows)
-            s["customers"] = s_customers
-            s["root_tables"] = np.minimum(1, _root_customers(s, least))
-            own = _own(s, least)
-            s["report"] = _per_context(s, np.where(own, s["tables"], 0))
-            yield _state_row(bucket, s, least)
+        for _, g, blocks, blobs, words, chances in _group_rows(batches):
+            own, turned, ends, _ = _seat(blobs, words, chances, top, [seed, number, g])
+            for _ in range(rounds):
+                own.round()
+            total = np.zeros(len(own.count))
+            for _ in range(samples):
+                for _ in range(apart):
+                    own.round()
+                total += own.probabilities()
+            logs = np.log10(total / samples).astype(np.float32)[turned]
+            packed = [_pack(logs[a:b]) for a, b in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([g] * len(blocks), pa.int32()), pa.array(packed, pa.binary())], ["block", "g", "logs"])
 
     return run
 
 
-def _sweep(totals: Totals, least: float, number: int, keep: bool, rounds: int, seed: int):
-    """Add the predictive probabilities of the state, if asked to, and sample the next one."""
+def _seat_top(discount: float, strength: float, tables: float, base: float, rounds: int, number: int, seed: int):
+    """Tables of words in the top restaurant, sampled a batch of words at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odds = [alone_odds(d) for d in totals.discounts]
-        for bucket, rows in _groups(batches):
-            s, seated = _told(rows)
-            rng = np.random.default_rng([seed, number, bucket])
-            word, context, own = s["word"], s["context"], _own(s, least)
-            root = totals.root(_root_customers(s, least), s["root_tables"])
-            back = np.where(s["customers"] >= least, totals.back(s["customers"], seated), 1.0)
-            if keep:
-                p = root[word]
-                p[own] = (s["count"][own] - totals.discounts[1] * s["tables"][own]) / (totals.strength + s["customers"][context[own]]) + back[context[own]] * p[own]
-                s["sums"] = s["sums"] + p
-                s["roots"] = np.concatenate([s["roots"], root])
-                s["backs"] = np.concatenate([s["backs"], back])
-            weight = (totals.strength + totals.discounts[1] * seated)[context[own]] * root[word[own]]
-            tables = np.ones(len(word), np.int64)
-            if number:
-                tables[own] = reseat(s["count"][own], s["tables"][own], weight, totals.discounts[1], odds[1], rng, rounds)
-            else:
-                tables[own] = seat(s["count"][own], weight, totals.discounts[1], rng)
-            s["tables"] = tables
-            s["report"] = _per_context(s, np.where(own, tables, 0))
-            customers = _root_customers(s, least)
-            weight = np.full(len(customers), (totals.strength + totals.discounts[0] * totals.root_tables) * totals.base)
-            if number:
-                old = np.clip(s["root_tables"], np.minimum(1, customers), customers)
-                s["root_tables"] = np.minimum(customers, reseat(customers, old, weight, totals.discounts[0], odds[0], rng, rounds))
-            else:
-                s["root_tables"] = seat(customers, weight, totals.discounts[0], rng)
-            yield _state_row(bucket, s, least)
+        rng = np.random.default_rng([seed, number, TaskContext.get().partitionId()])
+        for batch in batches:
+            n = batch.column("n").to_numpy(zero_copy_only=False)
+            weight = np.full(len(n), (strength + discount * tables) * base)
+            own = Seats(n, first_tables(n, weight, discount, rng), discount, rng)
+            for _ in range(rounds):
+                if len(who := np.flatnonzero(own.c > 1)):
+                    own.leave(who)
+                    own.sit(who, weight[who])
+            yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("n"), pa.array(own.t)], ["w", "n", "t"])
 
     return run
 
 
-# ---- answers -----------------------------------------------------------------------------
-
-_ANSWERS = "block long, bucket int, a binary, b binary"
-
-
-def _answer(samples: int):
-    """Averaged probabilities of the pairs each block asked for, and its words' counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _groups(batches):
-            s = _read_state(next(r for r in rows if r["block"] is None))
-            rooms, backs = (s[x].reshape(samples, -1).astype(float) for x in ("roots", "backs"))
-            types = s["word"] * len(s["names"]) + s["context"]
-            count = np.bincount(s["word"], s["count"], minlength=len(s["words"])).astype(np.int64)
-            for r in rows:
-                if r["block"] is None:
-                    continue
-                word, context = _asked(r, s["words"], s["names"])
-                keys = word * len(s["names"]) + context
-                found = np.minimum(np.searchsorted(types, keys), max(0, len(types) - 1))
-                seen = types[found] == keys if len(types) else np.zeros(len(keys), bool)
-                p = np.empty(len(keys), np.float64)
-                p[seen] = s["sums"][found[seen]] / samples
-                p[~seen] = (backs[:, context[~seen]] * rooms[:, word[~seen]]).mean(axis=0)
-                at = np.searchsorted(s["words"], _view(r["words"], "<u8"))
-                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([bucket], pa.int32()), pa.array([_pack(np.log10(p).astype(np.float32))], pa.binary()), pa.array([_pack(count[at])], pa.binary())], ["block", "bucket", "a", "b"])
-
-    return run
-
+# ---- scores ------------------------------------------------------------------------------
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scores(n_train: int, distinct: int):
+def _scores(n_train: int, distinct: int, groups: int, part_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[dict]:
-            for batch in batches:
-                yield from batch.to_pylist()
-
-        def close(own: dict, parts: list[dict]) -> pa.RecordBatch:
-            words, pairs, turned, lengths = _pairs(own)
-            log_p = np.concatenate([_view(x["a"], "<f4") for x in parts]).astype(float)
-            count = np.concatenate([_view(x["b"], "<i8") for x in parts])
-            base = np.log10((count + 0.1) / (n_train + 0.1 * (distinct + 1)))
-            ids = _view(own["ids"], "<u4")
-            starts = np.cumsum(lengths) - lengths
-            total = lambda x: np.add.reduceat(x, starts)
+        def close() -> pa.RecordBatch:
+            block = Block(own, groups, part_tokens)
+            logs = np.concatenate(parts).astype(float)
+            base = np.log10((block.counts + 0.1) / (n_train + 0.1 * (distinct + 1)))
+            lengths = block.lengths.astype(np.int64)
+            total = lambda x: np.add.reduceat(x, np.cumsum(lengths) - lengths)
             return pa.RecordBatch.from_arrays(
-                [pa.array(own["doc_ids"], pa.int64()), pa.array(_view(own["held"], "?")), pa.array(lengths), pa.array(total((count > 0)[ids].astype(np.int64))), pa.array(np.full(len(lengths), n_train)), pa.array(total(base[ids])), pa.array(total(log_p[turned]))],
+                [block.doc_ids, pa.array(block.held), pa.array(lengths), pa.array(total((block.counts > 0)[block.ids].astype(np.int64))), pa.array(np.full(len(lengths), n_train)), pa.array(total(base[block.ids])), pa.array(total(logs[block.turned]))],
                 [x.split()[0] for x in _SCORES.split(", ")],
             )
 
         own, parts = None, []
-        for row in rows():  # by block: the block itself, then its answers by bucket
-            if row["bucket"] < 0:
-                if own is not None:
-                    yield close(own, parts)
-                own, parts = row, []
-            else:
-                parts.append(row)
+        for batch in batches:  # by block: the block itself, then its answers by group
+            for row in batch.to_pylist():
+                if row["g"] < 0:
+                    if own is not None:
+                        yield close()
+                    own, parts = row, []
+                else:
+                    parts.append(_unpack(row["logs"], "<f4")[0])
         if own is not None:
-            yield close(own, parts)
+            yield close()
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, share: float = 0.0, burn_in: int = 3, samples: int = 3, rounds: int = 8, block_tokens: int = 1 << 20, seed: int = 11) -> DataFrame:
+def score(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, sweeps: int = 2, rounds: int = 4, samples: int = 3, apart: int = 1,
+    block_tokens: int = 1 << 21, shard_tokens: int = 1 << 22, part_tokens: int = 1 << 22, discounts: tuple[float, ...] | None = None, strengths: tuple[float, ...] | None = None, seed: int = 11,
+) -> DataFrame:
     """Log probabilities of every row's whole text, and those of an add-0.1 unigram model.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.  The
     model learns from the rows whose crc32 of the id as text (null: '') leaves a remainder
     by ``folds``.  A-Z count as a-z, each text ends in one end token, and a null or empty
-    text is that token alone.  Repeated rows count and are scored each; an empty table
-    gives an empty table; further columns are ignored.  Words are told apart by 64-bit hashes.
+    text is that token alone; texts of any length are scored whole.  Repeated rows count and
+    are scored each; an empty table gives an empty table; further columns are ignored,
+    whatever their names.  ``sweeps`` of ``rounds`` Gibbs rounds update the top restaurant;
+    the last one averages ``samples`` states ``apart`` rounds apart.  Discounts and strengths
+    (top first) are estimated from the seats of the first sweep where they are not given.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -539,43 +443,74 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     )
     begun = scratch.mark()
     blocks = scratch.table(rows.mapInArrow(_blocks(block_tokens), _BLOCKS), "blocks")
-    size = blocks.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("blocks")).first()
-    n_train = int(size["n"])
-    n = max(scratch.width(spark), int(size["blocks"]))  # buckets follow the tokens
-    deal = lambda df: df.repartition(n, "bucket").sortWithinPartitions("bucket")
-    counted = deal(blocks.select("block", "words", "train").mapInArrow(_counts(n), "block long, bucket int, words binary, train binary"))
-    numbers = scratch.table(counted.mapInArrow(_numbers, "block long, bucket int, numbers binary, distinct long"), "numbers")
-    distinct = int(numbers.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0])
-    by_block = lambda df: df.repartition(n, "block").sortWithinPartitions("block", "bucket")
-    both = blocks.drop("train", "n_train").withColumn("bucket", F.lit(-1)).unionByName(numbers.drop("distinct"), allowMissingColumns=True)
-    blocks = scratch.table(by_block(both).mapInArrow(_renamed, _NUMBERED), "blocks")
-    scratch.release(spark, begun, scratch.mark() - 1)
-    least = max(1.0, n_train * share)
-
-    asked = blocks.select("block", "held", "lengths", "ids", "words", "end_at").mapInArrow(_requests(n), _REQUESTS)
+    each = blocks.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("idx", "x")).select("block", "idx", F.col("x.words").alias("word"), F.col("x.train").alias("train"))
+    entries = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
+    dealt = each.repartition(max(16, -(-entries // _ENTRIES)), "word")
+    places = scratch.table(dealt.mapInArrow(_places, "block long, idx int, pid int, place long, count long, first boolean"), "places")
+    # One row a partition: where its words begin among all words.
+    own = F.col("first")
+    sizes = places.groupBy("pid").agg(
+        (F.max("place") + 1).alias("words"), F.sum(F.when(own, F.col("count"))).alias("tokens"), F.count_if(own & (F.col("count") > 0)).alias("known"), F.count_if(own & (F.col("count") == 1)).alias("once")
+    ).collect()
+    offsets = np.zeros(max((r["pid"] for r in sizes), default=-1) + 2, np.int64)
+    for r in sizes:
+        offsets[r["pid"] + 1] = r["words"]
+    offsets = np.cumsum(offsets)
+    n_train, distinct, once = (sum(r[x] for r in sizes) for x in ("tokens", "known", "once"))
+    shards = max(16, -(-n_train // shard_tokens))  # what a task holds follows the tokens
+    groups = max(256, shards)
+    both = blocks.select("block", "texts").unionByName(places.drop("first"), allowMissingColumns=True)
+    blocks = scratch.table(both.repartition(shards, "block").mapInArrow(_named(offsets), _NAMED), "blocks")
+    _forget(spark, begun)
+
+    asked = blocks.select("block", "texts", "words").mapInArrow(_ask(groups, part_tokens), "block long, g int, triples binary").withColumn("s", F.col("g") % shards)
     start = scratch.mark()
-    names = [x.split()[0] for x in _STATE.split(", ")]
-
-    def step(state: DataFrame, run: Callable) -> DataFrame:
-        """The next state, from this one and the totals of its contexts."""
-        told = deal(state.select("bucket", "names", "report").mapInArrow(_reports(n), _REPORTS)).mapInArrow(_replies, _REPLIES)
-        both = state.withColumn("source", F.lit(-1)).unionByName(told, allowMissingColumns=True).repartition(n, "bucket").sortWithinPartitions("bucket", "source")
-        following = scratch.table(both.select("source", *names).mapInArrow(run, _STATE), "seats")
-        scratch.release(spark, start, scratch.mark() - 1)
-        spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of steps that are over
-        return following
-
-    state = step(scratch.table(deal(asked).mapInArrow(_open, _STATE), "seats"), _settle(least))
-    discounts = None
-    for number in range(burn_in + samples + 1):
-        root = state.agg(F.sum("root_customers").alias("c"), F.sum("root_tables_sum").alias("t"), *(F.sum(F.col("ones")[i]).alias(f"o{i}") for i in range(4))).first()
-        if discounts is None:  # by the numbers of dishes seen once and twice
-            share_of = lambda one, two: float(np.clip((one or 0) / max(1.0, (one or 0) + 2 * (two or 0)), 0.1, 0.95))
-            discounts = (share_of(root["o2"], root["o3"]), share_of(root["o0"], root["o1"]))
-        totals = Totals(root["c"] or 0, root["t"] or 0, discounts, 1.0 / (distinct + 1))
-        state = step(state, _sweep(totals, least, number, number > burn_in, rounds, seed))
-
-    both = state.select(*names).withColumn("block", F.lit(None).cast("long")).unionByName(asked, allowMissingColumns=True)
-    answers = deal(both).mapInArrow(_answer(samples), _ANSWERS)
-    whole = blocks.withColumn("bucket", F.lit(-1)).unionByName(answers, allowMissingColumns=True)
-    return by_block(whole).mapInArrow(_scores(n_train, distinct), _SCORES)
+    top = rooms = None
+    for number in range(sweeps):
+        dealt = asked
+        if rooms is not None:
+            dealt = asked.unionByName(rooms.select("s", F.lit(-1).alias("g"), "w", "p"), allowMissingColumns=True)
+        else:
+            dealt = asked.withColumns({"w": F.lit(None).cast("long"), "p": F.lit(None).cast("double")})
+        # One column to sort by, so that Spark sorts by radix.
+        turn = dealt.withColumn("turn", F.shiftleft(F.col("s").cast("long"), 32) + F.col("g"))
+        dealt = turn.repartitionById(shards, "s").sortWithinPartitions("turn").select("s", "g", "block", "triples", "w", "p")
+        if number == sweeps - 1:
+            break
+        reports = scratch.table(dealt.mapInArrow(_report(top, rounds, number, seed), _REPORTS), "reports")
+        hints = {-r["w"]: r["x"] for r in reports.where("w < 0").groupBy("w").agg(F.array(*(F.sum(F.col("x")[i]) for i in range(4))).alias("x")).collect()}
+        words = reports.where("w >= 0").groupBy("w").agg(F.sum("n").alias("n"))
+        d, s = _levels(hints, top, discounts, strengths, np.random.default_rng([seed, number]))
+        tables = distinct if top is None else top.tables
+        seated = scratch.table(words.mapInArrow(_seat_top(d[0], s[0], tables, 1.0 / (distinct + 1), rounds, number, seed), "w long, n long, t long"), "top")
+        size = seated.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
+        top = Top((size["n"] or 0) + once, (size["t"] or 0) + once, distinct, d, s)
+        chance = top.probability(F.col("n"), F.col("t")).alias("p")
+        rooms = scratch.table(reports.where("w >= 0").select("s", "w").join(seated.select("w", chance), "w"), "rooms")
+        del dealt, reports, words, seated
+        _forget(spark, start)
+
+    if top is None:
+        raise ValueError("sweeps must be 2 at least: the first one only starts the top")
+    answers = dealt.mapInArrow(_answer(top, rounds, samples, apart, sweeps - 1, seed), _ANSWERS)
+    whole = blocks.withColumn("g", F.lit(-1)).unionByName(answers, allowMissingColumns=True)
+    return whole.repartition(shards, "block").sortWithinPartitions("block", "g").mapInArrow(_scores(n_train, distinct, groups, part_tokens), _SCORES)
+
+
+def _forget(spark, start: int) -> None:
+    """Delete all tables written since ``start`` but the last one, and let Spark drop shuffle files of steps that are over."""
+    import gc
+
+    scratch.release(spark, start, scratch.mark() - 1)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _levels(hints: dict, top: Top | None, discounts, strengths, rng: np.random.Generator) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Discounts from dishes of one and two customers; strengths drawn given the seats (gamma prior of 1, 1)."""
+    before = (top.discounts, top.strengths) if top is not None else START
+    d, s = list(before[0]), list(before[1])
+    for level, (one, two, y, log_x) in hints.items():
+        d[level - 1] = float(np.clip(one / max(1.0, one + 2 * two), 0.1, 0.95))
+        s[level - 1] = float(rng.gamma(1 + y, 1 / (1 - log_x)))
+    return tuple(discounts or d), tuple(strengths or s)
