@@ -37,8 +37,6 @@ END = b" "
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Discounts and strengths of the levels, top first, that the first sweep starts from.
 START = ((0.6, 0.75, 0.85), (1.0, 1.0, 1.0))
-#: Words of all blocks that one task numbers.
-_ENTRIES = 1 << 20
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -61,11 +59,13 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
 
 # ---- texts to blocks ---------------------------------------------------------------------
 
-_BLOCKS = "block long, texts binary, words array<binary>, train array<int>"
+_BLOCKS = "block long, texts binary, spelled binary, entries long, n_train long"
 
 
 def _blocks(block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         base, number = TaskContext.get().partitionId() << 32, 0
         names, held, counts, flat, sizes, size = [], [], [], [], [], 0
 
@@ -73,17 +73,21 @@ def _blocks(block_tokens: int):
             nonlocal number, names, held, counts, flat, sizes, size
             n, own = np.concatenate(counts), np.concatenate(held)
             coded = textops.binary_array(np.concatenate(flat), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))).dictionary_encode()
-            ids = np.full(len(coded) + len(n), len(coded.dictionary), np.uint32)
+            words = [*coded.dictionary.to_pylist(), END]
+            digest = xxhash.xxh3_64_intdigest
+            hashes = np.fromiter((digest(w) for w in words), np.uint64, len(words))
+            order = np.argsort(hashes)  # by hash, so that any number of groups cuts them in order
+            turned = np.empty(len(words), np.uint32)
+            turned[order] = np.arange(len(words))
+            ids = np.full(len(coded) + len(n), turned[-1], np.uint32)
             last = np.cumsum(n + 1) - 1
-            ids[textops.ragged(last - n, n)] = coded.indices.to_numpy(zero_copy_only=False)
-            train = np.bincount(ids[np.repeat(~own, n + 1)], minlength=len(coded.dictionary) + 1).astype(np.int32)
-            words = pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([END], pa.binary())])
+            ids[textops.ragged(last - n, n)] = turned[coded.indices.to_numpy(zero_copy_only=False)]
+            train = np.bincount(ids[np.repeat(~own, n + 1)], minlength=len(words)).astype(np.uint32)
+            words = [words[i] for i in order.tolist()]
+            spelled = _pack((hashes[order] >> np.uint64(32)).astype(np.uint32), np.fromiter(map(len, words), np.uint32, len(words)), np.frombuffer(b"".join(words), np.uint8), train)
             some = pa.concat_arrays(names)
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([base + number], pa.int64()), pa.array([_pack(pc.fill_null(some, 0).to_numpy(), some.is_valid().to_numpy(zero_copy_only=False), own, (n + 1).astype(np.int32), ids)], pa.binary()), one(words), one(pa.array(train))],
-                [x.split()[0] for x in _BLOCKS.split(", ")],
-            )
+            texts = _pack(pc.fill_null(some, 0).to_numpy(), some.is_valid().to_numpy(zero_copy_only=False), own, (n + 1).astype(np.int32), ids, turned[-1:])
+            out = pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((base + number, pa.int64()), (texts, pa.binary()), (spelled, pa.binary()), (len(words), pa.int64()), (int(train.sum()), pa.int64()))], [x.split()[0] for x in _BLOCKS.split(", ")])
             number += 1
             names, held, counts, flat, sizes, size = [], [], [], [], [], 0
             return out
@@ -106,59 +110,82 @@ def _blocks(block_tokens: int):
     return run
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of the words among those of a partition, and their training counts."""
-    held = list(batches)  # a partition has a bounded part of the words, see score()
-    if not held:
-        return
-    own = TaskContext.get().partitionId()
-    coded = pa.chunked_array([b.column("word") for b in held]).combine_chunks().dictionary_encode()
-    place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    train = np.concatenate([b.column("train").to_numpy(zero_copy_only=False) for b in held])
-    count = np.bincount(place, train, minlength=len(coded.dictionary)).astype(np.int64)
-    first = np.zeros(len(place), bool)
-    first[np.unique(place, return_index=True)[1]] = True
-    at = 0
-    for batch in held:
-        pick = slice(at, at := at + len(batch))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("block"), batch.column("idx"), pa.array(np.full(len(batch), own, np.int32)), pa.array(place[pick]), pa.array(count[place[pick]]), pa.array(first[pick])], ["block", "idx", "pid", "place", "count", "first"]
-        )
+def _spell(groups: int):
+    """The words of each block and their training counts, one message for each group of words that it has some of."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, spelled in zip(batch.column("block").to_pylist(), batch.column("spelled").to_pylist()):
+                heads, lengths, letters, train = _unpack(spelled, "<u4", "<u4", "u1", "<u4")
+                group = (heads.astype(np.uint64) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+                cut = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
+                at = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))[cut]
+                blobs = [_pack(lengths[a:b], letters[c:d], train[a:b]) for a, b, c, d in zip(cut, cut[1:], at, at[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(blobs), pa.int64()), pa.array(group[cut[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["block", "g", "spelled"])
 
-_NAMED = "block long, texts binary, words binary"
+    return run
 
 
-def _named(offsets: np.ndarray):
-    """Blocks with numbers and training counts of their words, from all rows of some blocks.
+def _places(groups: int):
+    """Numbers of the words of a group and their training counts, told to each block.
 
-    The lowest two bits of a number tell whether the word occurs never, once or more often.
+    The lowest two bits of a number tell whether the word occurs never, once or more often
+    in training texts; ``known`` and ``once`` add up to the numbers of words seen there, and
+    seen there once.
     """
 
+    def close(g: int, blocks: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+        lengths, letters, train = zip(*(_unpack(x, "<u4", "u1", "<u4") for x in blobs))
+        ends = np.cumsum([0, *map(len, lengths)])
+        coded = textops.binary_array(np.concatenate(letters), np.concatenate(([0], np.cumsum(np.concatenate(lengths), dtype=np.int64)))).dictionary_encode()
+        place = coded.indices.to_numpy(zero_copy_only=False)
+        count = np.bincount(place, np.concatenate(train), minlength=len(coded.dictionary)).astype(np.int64)
+        number = (np.arange(len(count)) * groups + g) << 2 | np.minimum(count, 2)
+        told = [_pack(number[x], count[x]) for x in (place[a:b] for a, b in zip(ends, ends[1:]))]
+        known, once = ([int(x.sum())] + [0] * (len(blocks) - 1) for x in (count > 0, count == 1))
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([g] * len(blocks), pa.int32()), pa.array(told, pa.binary()), pa.array(known, pa.int64()), pa.array(once, pa.int64())], ["block", "g", "told", "known", "once"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, columns = [], [[], [], [], []]
-        for batch in batches:
-            own = batch.column("texts").is_valid().to_numpy(zero_copy_only=False)
-            blocks += batch.filter(pa.array(own)).select(["block", "texts"]).to_pylist()
-            rest = batch.filter(pa.array(~own))
-            pid = rest.column("pid").to_numpy(zero_copy_only=False)
-            for store, x in zip(columns, (rest.column("block"), rest.column("idx"), rest.column("place"), rest.column("count"))):
-                store.append(x.to_numpy(zero_copy_only=False))
-            columns[2][-1] = (offsets[pid] + columns[2][-1]) << 2 | np.minimum(columns[3][-1], 2)
-        if not blocks:
-            return
-        block, idx, number, count = (np.concatenate(x) for x in columns)
-        for row in blocks:
-            mine = np.flatnonzero(block == row["block"])
-            mine = mine[np.argsort(idx[mine])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row["block"]], pa.int64()), pa.array([row["texts"]], pa.binary()), pa.array([_pack(number[mine], count[mine])], pa.binary())],
-                [x.split()[0] for x in _NAMED.split(", ")],
-            )
+        now, blocks, blobs = None, [], []
+        for batch in batches:  # sorted by group
+            for g, block, blob in zip(*(batch.column(x).to_pylist() for x in ("g", "block", "spelled"))):
+                if g != now:
+                    if blocks:
+                        yield close(now, blocks, blobs)
+                    now, blocks, blobs = g, [], []
+                blocks.append(block)
+                blobs.append(blob)
+        if blocks:
+            yield close(now, blocks, blobs)
 
     return run
 
 
+_NAMED = "block long, texts binary, words binary, known long, once long"
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with numbers and training counts of their words (rows by block, the block itself first, then by group)."""
+
+    def close() -> pa.RecordBatch:
+        numbers, counts = (np.concatenate(x) for x in zip(*(_unpack(x, "<i8", "<i8") for x in told)))
+        values = (own["block"], pa.int64()), (own["texts"], pa.binary()), (_pack(numbers, counts), pa.binary()), (known, pa.int64()), (once, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in values], [x.split()[0] for x in _NAMED.split(", ")])
+
+    own, told, known, once = None, [], 0, 0
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["g"] < 0:
+                if own is not None:
+                    yield close()
+                own, told, known, once = row, [], 0, 0
+            else:
+                told.append(row["told"])
+                known, once = known + row["known"], once + row["once"]
+    if own is not None:
+        yield close()
+
+
 # ---- messages ----------------------------------------------------------------------------
 
 
@@ -179,15 +206,15 @@ class Block:
     """The distinct triples of a block in the order of its messages, and where each token's is."""
 
     def __init__(self, row: dict, groups: int, part_tokens: int):
-        ids, valid, self.held, self.lengths, tokens = _unpack(row["texts"], "<i8", "?", "?", "<i4", "<u4")
+        ids, valid, self.held, self.lengths, tokens, end = _unpack(row["texts"], "<i8", "?", "?", "<i4", "<u4", "<u4")
         self.doc_ids = pa.array(ids, mask=~valid)
         self.numbers, self.counts = _unpack(row["words"], "<i8", "<i8")
-        self.ids, end = tokens.astype(np.int64), len(self.numbers) - 1
+        self.ids = tokens.astype(np.int64)
         lengths = self.lengths.astype(np.int64)
         starts = np.cumsum(lengths) - lengths
         one, two = np.empty(len(tokens), np.int64), np.empty(len(tokens), np.int64)
         one[1:], two[2:] = self.ids[:-1], self.ids[:-2]
-        one[starts], two[starts], two[starts[lengths > 1] + 1] = end, end, end
+        one[starts], two[starts], two[starts[lengths > 1] + 1] = end[0], end[0], end[0]
         v, u, w, turned = _sorted_unique(one, two, self.ids)
         parts = 1 + self.counts // part_tokens
         mixed = ((self.numbers.astype(np.uint64) * _MIX) >> np.uint64(33)).astype(np.int64)
@@ -221,7 +248,7 @@ def _ask(groups: int, part_tokens: int):
         for batch in batches:
             for row in batch.to_pylist():
                 sent = list(Block(row, groups, part_tokens).messages())
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(sent), pa.int64()), pa.array([x[0] for x in sent], pa.int32()), pa.array([x[1] for x in sent], pa.binary())], ["block", "g", "triples"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(sent), pa.int64()), pa.array([x[0] for x in sent], pa.int32()), pa.array([x[1] for x in sent], pa.binary())], ["block", "g", "message"])
 
     return run
 
@@ -242,40 +269,33 @@ class Top:
         return (customers - tables * d + (s + d * self.tables) * self.base) / (s + self.customers)
 
 
-def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """``(shard, group, blocks, blobs, words, probabilities)``, one group of a partition at a time.
-
-    Rows are sorted by shard and group; a shard's words come first, as group -1.
-    """
-    words, chances, blocks, blobs, now = [], [], [], [], None
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        if len(words) != 1:
-            w, p = np.concatenate([np.zeros(0, np.int64), *words]), np.concatenate([np.zeros(0), *chances])
-            turn = np.argsort(w)
-            words[:], chances[:] = [w[turn]], [p[turn]]
-        return words[0], chances[0]
-
+def _groups_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of one group at a time (rows are sorted by it)."""
+    now, held = None, []
     for batch in batches:
-        s, g = batch.column("s").to_numpy(zero_copy_only=False), batch.column("g").to_numpy(zero_copy_only=False)
-        if not len(s):
-            continue
-        cuts = [0, *(np.flatnonzero((s[1:] != s[:-1]) | (g[1:] != g[:-1])) + 1).tolist(), len(s)]
-        for a, b in zip(cuts, cuts[1:]):
-            if now != (s[a], g[a]):
-                if now is not None and now[1] >= 0:
-                    yield *now, blocks, blobs, *merged()
-                if now is None or now[0] != s[a]:
-                    words, chances = [], []
-                now, blocks, blobs = (int(s[a]), int(g[a])), [], []
-            if g[a] < 0:
-                words.append(batch.column("w")[a:b].to_numpy(zero_copy_only=False))
-                chances.append(batch.column("p")[a:b].to_numpy(zero_copy_only=False))
-            else:
-                blocks += batch.column("block")[a:b].to_pylist()
-                blobs += batch.column("triples")[a:b].to_pylist()
-    if now is not None and now[1] >= 0:
-        yield *now, blocks, blobs, *merged()
+        for row in batch.select(["g", *columns]).to_pylist():
+            if row["g"] != now:
+                if held:
+                    yield now, held
+                now, held = row["g"], []
+            held.append(row)
+    if held:
+        yield now, held
+
+
+def _with_top(batches: Iterator[pa.RecordBatch], top: Top | None) -> Iterator[tuple]:
+    """``(shard, group, rows, words, probabilities)`` of one group at a time; a shard's words come first, as group -1."""
+    words, chances, last = np.zeros(0, np.int64), np.zeros(0), None
+    for turn, rows in _groups_of((b.rename_columns(["g", *b.schema.names[1:]]) for b in batches), "s", "block", "message"):
+        s, g = rows[0]["s"], (turn & 0xFFFFFFFF) - 1
+        if s != last:
+            words, chances, last = np.zeros(0, np.int64), np.zeros(0), s
+        if g < 0:
+            words, customers, tables = (np.concatenate(x) for x in zip(*(_unpack(r["message"], "<i8", "<i8", "<i8") for r in rows)))
+            order = np.argsort(words)
+            words, chances = words[order], top.probability(customers[order], tables[order])
+        else:
+            yield s, g, rows, words, chances
 
 
 def _opened(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -310,38 +330,68 @@ def _seat(blobs: list[bytes], words: np.ndarray, chances: np.ndarray, top: Top |
     return own, turned, ends, names[word]
 
 
-_REPORTS = "s int, w long, n long, x array<double>"
+_REPORTS = "s int, g int, message binary, hints array<double>"
 
 
-def _report(top: Top | None, rounds: int, number: int, seed: int):
-    """Customers that each shard sends to the top, for words seen more than once; hints of the levels as word -level."""
+def _report(top: Top | None, rounds: int, number: int, seed: int, of_words: int):
+    """Customers that a shard sends to the top, for words seen more than once, by group of words; and hints of the levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, words, sent, hints = None, [], [], {}
+        now, words, sent, hints = None, [], [], 0.0
 
-        def close() -> Iterator[pa.RecordBatch]:
+        def close() -> pa.RecordBatch:
             names, turned = np.unique(np.concatenate(words), return_inverse=True)
             n = np.bincount(turned, np.concatenate(sent), minlength=len(names)).astype(np.int64)
-            for lo in range(0, len(names), 1 << 16):
-                w = names[lo : lo + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), now, np.int32)), pa.array(w), pa.array(n[lo : lo + len(w)]), pa.nulls(len(w), pa.list_(pa.float64()))], ["s", "w", "n", "x"])
-            yield pa.RecordBatch.from_arrays([pa.array([now] * len(hints), pa.int32()), pa.array([-k for k in hints], pa.int64()), pa.array([0] * len(hints), pa.int64()), pa.array([list(x) for x in hints.values()], pa.list_(pa.float64()))], ["s", "w", "n", "x"])
-
-        for s, g, _, blobs, own_words, chances in _group_rows(batches):
+            group = (names >> 2) % of_words
+            order = np.argsort(group, kind="stable")
+            cut = np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order))
+            blobs = [_pack(names[x], n[x]) for x in (order[a:b] for a, b in zip(cut, cut[1:]))]
+            own = [*group[order][cut[:-1]].tolist(), -1]
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(own), pa.int32()), pa.array(own, pa.int32()), pa.array([*blobs, None], pa.binary()), pa.array([None] * len(blobs) + [list(hints)], pa.list_(pa.float64()))], ["s", "g", "message", "hints"])
+
+        for s, g, rows, own_words, chances in _with_top(batches, top):
             if now is not None and s != now:
-                yield from close()
-                words, sent, hints = [], [], {}
+                yield close()
+                words, sent, hints = [], [], 0.0
             now = s
-            own, _, _, names = _seat(blobs, own_words, chances, top, [seed, number, g])
+            own, _, _, names = _seat([r["message"] for r in rows], own_words, chances, top, [seed, number, g])
             for _ in range(rounds):
                 own.round()
             many = (names & 3) == 2
             words.append(names[many])
             sent.append(own.mid.t[many])
-            for level, x in own.hints().items():
-                hints[level] = np.array(x) + hints.get(level, 0.0)
+            hints = hints + np.array(own.hints())
         if now is not None:
-            yield from close()
+            yield close()
+
+    return run
+
+
+_ROOMS = "s int, message binary, customers long, tables long"
+
+
+def _seat_top(discount: float, strength: float, tables: float, base: float, rounds: int, number: int, seed: int):
+    """Tables of words in the top restaurant, sampled a group of words at a time and told to each shard.
+
+    ``customers`` and ``tables`` add up to those of all words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, rows in _groups_of(batches, "s", "message"):
+            rng = np.random.default_rng([seed, number, 1, g])
+            words, sent = zip(*(_unpack(r["message"], "<i8", "<i8") for r in rows))
+            names, turned = np.unique(np.concatenate(words), return_inverse=True)
+            n = np.bincount(turned, np.concatenate(sent), minlength=len(names)).astype(np.int64)
+            weight = np.full(len(n), (strength + discount * tables) * base)
+            own = Seats(n, first_tables(n, weight, discount, rng), discount, rng)
+            for _ in range(rounds):
+                if len(who := np.flatnonzero(own.c > 1)):
+                    own.leave(who)
+                    own.sit(who, weight[who])
+            ends = np.cumsum([0, *map(len, words)])
+            told = [_pack(names[x], n[x], own.t[x]) for x in (turned[a:b] for a, b in zip(ends, ends[1:]))]
+            sums = ([int(x.sum())] + [0] * (len(rows) - 1) for x in (n, own.t))
+            yield pa.RecordBatch.from_arrays([pa.array([r["s"] for r in rows], pa.int32()), pa.array(told, pa.binary()), *(pa.array(x, pa.int64()) for x in sums)], ["s", "message", "customers", "tables"])
 
     return run
 
@@ -353,8 +403,9 @@ def _answer(top: Top, rounds: int, samples: int, apart: int, number: int, seed:
     """Logarithms of the averaged probabilities of each message's triples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, g, blocks, blobs, words, chances in _group_rows(batches):
-            own, turned, ends, _ = _seat(blobs, words, chances, top, [seed, number, g])
+        for _, g, rows, words, chances in _with_top(batches, top):
+            own, turned, ends, _ = _seat([r["message"] for r in rows], words, chances, top, [seed, number, g])
+            blocks = [r["block"] for r in rows]
             for _ in range(rounds):
                 own.round()
             total = np.zeros(len(own.count))
@@ -369,24 +420,6 @@ def _answer(top: Top, rounds: int, samples: int, apart: int, number: int, seed:
     return run
 
 
-def _seat_top(discount: float, strength: float, tables: float, base: float, rounds: int, number: int, seed: int):
-    """Tables of words in the top restaurant, sampled a batch of words at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng([seed, number, TaskContext.get().partitionId()])
-        for batch in batches:
-            n = batch.column("n").to_numpy(zero_copy_only=False)
-            weight = np.full(len(n), (strength + discount * tables) * base)
-            own = Seats(n, first_tables(n, weight, discount, rng), discount, rng)
-            for _ in range(rounds):
-                if len(who := np.flatnonzero(own.c > 1)):
-                    own.leave(who)
-                    own.sit(who, weight[who])
-            yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("n"), pa.array(own.t)], ["w", "n", "t"])
-
-    return run
-
-
 # ---- scores ------------------------------------------------------------------------------
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -422,7 +455,7 @@ def _scores(n_train: int, distinct: int, groups: int, part_tokens: int):
 
 def score(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, sweeps: int = 2, rounds: int = 4, samples: int = 3, apart: int = 1,
-    block_tokens: int = 1 << 21, shard_tokens: int = 1 << 22, part_tokens: int = 1 << 22, discounts: tuple[float, ...] | None = None, strengths: tuple[float, ...] | None = None, seed: int = 11,
+    block_tokens: int = 1 << 20, shard_tokens: int = 1 << 22, part_tokens: int = 1 << 22, discounts: tuple[float, ...] | None = None, strengths: tuple[float, ...] | None = None, seed: int = 11,
 ) -> DataFrame:
     """Log probabilities of every row's whole text, and those of an add-0.1 unigram model.
 
@@ -443,51 +476,39 @@ def score(
     )
     begun = scratch.mark()
     blocks = scratch.table(rows.mapInArrow(_blocks(block_tokens), _BLOCKS), "blocks")
-    each = blocks.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("idx", "x")).select("block", "idx", F.col("x.words").alias("word"), F.col("x.train").alias("train"))
-    entries = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
-    dealt = each.repartition(max(16, -(-entries // _ENTRIES)), "word")
-    places = scratch.table(dealt.mapInArrow(_places, "block long, idx int, pid int, place long, count long, first boolean"), "places")
-    # One row a partition: where its words begin among all words.
-    own = F.col("first")
-    sizes = places.groupBy("pid").agg(
-        (F.max("place") + 1).alias("words"), F.sum(F.when(own, F.col("count"))).alias("tokens"), F.count_if(own & (F.col("count") > 0)).alias("known"), F.count_if(own & (F.col("count") == 1)).alias("once")
-    ).collect()
-    offsets = np.zeros(max((r["pid"] for r in sizes), default=-1) + 2, np.int64)
-    for r in sizes:
-        offsets[r["pid"] + 1] = r["words"]
-    offsets = np.cumsum(offsets)
-    n_train, distinct, once = (sum(r[x] for r in sizes) for x in ("tokens", "known", "once"))
-    shards = max(16, -(-n_train // shard_tokens))  # what a task holds follows the tokens
-    groups = max(256, shards)
-    both = blocks.select("block", "texts").unionByName(places.drop("first"), allowMissingColumns=True)
-    blocks = scratch.table(both.repartition(shards, "block").mapInArrow(_named(offsets), _NAMED), "blocks")
+    size = blocks.agg(F.sum("entries").alias("entries"), F.sum("n_train").alias("tokens")).first()
+    entries, n_train = size["entries"] or 0, size["tokens"] or 0
+    # Tasks and groups follow what they hold; a block fills no more messages than it has words.
+    parts, shards = max(16, entries >> 20), max(16, -(-n_train // shard_tokens))
+    of_words, groups = max(256, entries >> 18), max(256, shards)
+    spelled = blocks.select("block", "spelled").mapInArrow(_spell(of_words), "block long, g int, spelled binary").repartitionById(parts, "g").sortWithinPartitions("g")
+    told = spelled.mapInArrow(_places(of_words), "block long, g int, told binary, known long, once long")
+    both = blocks.select("block", F.lit(-1).alias("g"), "texts").unionByName(told, allowMissingColumns=True)
+    blocks = scratch.table(both.repartition(shards, "block").sortWithinPartitions("block", "g").mapInArrow(_named, _NAMED), "blocks")
+    size = blocks.agg(F.sum("known").alias("known"), F.sum("once").alias("once")).first()
+    distinct, once = size["known"] or 0, size["once"] or 0
+    blocks = blocks.select("block", "texts", "words")
     _forget(spark, begun)
 
-    asked = blocks.select("block", "texts", "words").mapInArrow(_ask(groups, part_tokens), "block long, g int, triples binary").withColumn("s", F.col("g") % shards)
+    asked = blocks.mapInArrow(_ask(groups, part_tokens), "block long, g int, message binary").select((F.col("g") % shards).alias("s"), "g", "block", "message")
     start = scratch.mark()
     top = rooms = None
     for number in range(sweeps):
         dealt = asked
         if rooms is not None:
-            dealt = asked.unionByName(rooms.select("s", F.lit(-1).alias("g"), "w", "p"), allowMissingColumns=True)
-        else:
-            dealt = asked.withColumns({"w": F.lit(None).cast("long"), "p": F.lit(None).cast("double")})
+            dealt = asked.unionByName(rooms.select("s", F.lit(-1).alias("g"), "message"), allowMissingColumns=True)
         # One column to sort by, so that Spark sorts by radix.
-        turn = dealt.withColumn("turn", F.shiftleft(F.col("s").cast("long"), 32) + F.col("g"))
-        dealt = turn.repartitionById(shards, "s").sortWithinPartitions("turn").select("s", "g", "block", "triples", "w", "p")
+        dealt = dealt.select((F.shiftleft(F.col("s").cast("long"), 32) + F.col("g") + 1).alias("turn"), "s", "block", "message").repartitionById(shards, "s").sortWithinPartitions("turn")
         if number == sweeps - 1:
             break
-        reports = scratch.table(dealt.mapInArrow(_report(top, rounds, number, seed), _REPORTS), "reports")
-        hints = {-r["w"]: r["x"] for r in reports.where("w < 0").groupBy("w").agg(F.array(*(F.sum(F.col("x")[i]) for i in range(4))).alias("x")).collect()}
-        words = reports.where("w >= 0").groupBy("w").agg(F.sum("n").alias("n"))
-        d, s = _levels(hints, top, discounts, strengths, np.random.default_rng([seed, number]))
-        tables = distinct if top is None else top.tables
-        seated = scratch.table(words.mapInArrow(_seat_top(d[0], s[0], tables, 1.0 / (distinct + 1), rounds, number, seed), "w long, n long, t long"), "top")
-        size = seated.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
+        reports = scratch.table(dealt.mapInArrow(_report(top, rounds, number, seed, of_words), _REPORTS), "reports")
+        hints = reports.where("hints is not null").agg(*(F.sum(F.col("hints")[i]) for i in range(8))).first()
+        d, s = _levels([x or 0.0 for x in hints], top, discounts, strengths, np.random.default_rng([seed, number]))
+        words = reports.where("message is not null").select("s", "g", "message").repartitionById(parts, "g").sortWithinPartitions("g")
+        rooms = scratch.table(words.mapInArrow(_seat_top(d[0], s[0], distinct if top is None else top.tables, 1.0 / (distinct + 1), rounds, number, seed), _ROOMS), "rooms")
+        size = rooms.agg(F.sum("customers").alias("n"), F.sum("tables").alias("t")).first()
         top = Top((size["n"] or 0) + once, (size["t"] or 0) + once, distinct, d, s)
-        chance = top.probability(F.col("n"), F.col("t")).alias("p")
-        rooms = scratch.table(reports.where("w >= 0").select("s", "w").join(seated.select("w", chance), "w"), "rooms")
-        del dealt, reports, words, seated
+        del dealt, reports, words
         _forget(spark, start)
 
     if top is None:
@@ -506,11 +527,11 @@ def _forget(spark, start: int) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _levels(hints: dict, top: Top | None, discounts, strengths, rng: np.random.Generator) -> tuple[tuple[float, ...], tuple[float, ...]]:
+def _levels(hints: list[float], top: Top | None, discounts, strengths, rng: np.random.Generator) -> tuple[tuple[float, ...], tuple[float, ...]]:
     """Discounts from dishes of one and two customers; strengths drawn given the seats (gamma prior of 1, 1)."""
     before = (top.discounts, top.strengths) if top is not None else START
     d, s = list(before[0]), list(before[1])
-    for level, (one, two, y, log_x) in hints.items():
+    for level, (one, two, y, log_x) in ((3, hints[:4]), (2, hints[4:])):
         d[level - 1] = float(np.clip(one / max(1.0, one + 2 * two), 0.1, 0.95))
         s[level - 1] = float(rng.gamma(1 + y, 1 / (1 - log_x)))
     return tuple(discounts or d), tuple(strengths or s)

@@ -194,14 +194,14 @@ class Hierarchy:
         back = (self.s3 + self.d3 * self.tables3) / (self.s3 + self.customers3)
         return (self.count - self.d3 * tables) / (self.s3 + self.customers3)[self.room] + back[self.room] * self._middle()[self.upper]
 
-    def hints(self) -> dict[int, tuple[float, float, float, float]]:
-        """By level: dishes of one and of two customers, and the two sums that a strength is drawn from."""
-        out = {}
-        for level, count, customers, tables, s, d in ((3, self.count, self.customers3, self.tables3, self.s3, self.d3), (2, self.mid.c, self.customers2, self.tables2, self.s2, self.d2)):
+    def hints(self) -> list[float]:
+        """For both levels, the lowest first: dishes of one and of two customers, and the two sums that a strength is drawn from."""
+        out: list[float] = []
+        for count, customers, tables, s, d in ((self.count, self.customers3, self.tables3, self.s3, self.d3), (self.mid.c, self.customers2, self.tables2, self.s2, self.d2)):
             some = customers >= 2
             x = self.rng.beta(s + 1, customers[some] - 1)
             more = np.maximum(tables[some] - 1, 0).astype(np.int64)
             i = ragged(np.ones(len(more), np.int64), more)
             y = self.rng.random(len(i)) * (s + d * i) < s
-            out[level] = (float((count == 1).sum()), float((count == 2).sum()), float(y.sum()), float(np.log(x).sum()))
+            out += [float((count == 1).sum()), float((count == 2).sum()), float(y.sum()), float(np.log(x).sum())]
         return out
