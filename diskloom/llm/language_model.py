@@ -40,19 +40,26 @@ START = ((0.6, 0.75, 0.85), (1.0, 1.0, 1.0))
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed blob: lengths, then bytes of equal weight side by side."""
-    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in arrays]
-    raw = b"".join([np.array([len(arrays), *map(len, arrays)], "<i8").tobytes(), *planes])
+    """Arrays as one compressed blob: lengths and widths, then bytes of equal weight side by side, as many as there are any."""
+    head, planes = [], []
+    for x in arrays:
+        x = x.view(f"<u{x.itemsize}")
+        width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+        head += [len(x), width]
+        planes += [(x >> x.dtype.type(8 * i)).astype(np.uint8).tobytes() for i in range(width)]
+    raw = b"".join([np.array(head, "<i8").tobytes(), *planes])
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     raw = np.frombuffer(pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd"), np.uint8)
-    sizes = raw[8 : 8 + 8 * len(kinds)].view("<i8")
-    out, at = [], 8 + 8 * len(kinds)
-    for kind, n in zip(kinds, sizes.tolist()):
-        width = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, -1).T).view(kind).ravel())
+    out, at = [], 16 * len(kinds)
+    for kind, (n, width) in zip(kinds, raw[:at].view("<i8").reshape(-1, 2).tolist()):
+        plain = np.dtype(f"<u{np.dtype(kind).itemsize}")
+        x = raw[at : at + n].astype(plain)
+        for i in range(1, width):
+            x |= raw[at + i * n : at + (i + 1) * n].astype(plain) << plain.type(8 * i)
+        out.append(x.view(kind))
         at += n * width
     return out
 
@@ -192,13 +199,17 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sorted_unique(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct rows in order, by column, and the row of each entry."""
     key = columns[0].astype(np.int64)
-    turned = None
     for column in columns[1:]:
         width = int(column.max(initial=0)) + 1
         if int(key.max(initial=0)) >= (1 << 62) // width:  # number what there is, to make room
             own, key = np.unique(key, return_inverse=True)
         key = key * width + column
-    _, at, turned = np.unique(key, return_index=True, return_inverse=True)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))
+    turned = np.empty(len(key), np.int64)
+    turned[order] = np.cumsum(new) - 1
+    at = order[new]
     return *(c[at] for c in columns), turned
 
 
@@ -220,7 +231,7 @@ class Block:
         mixed = ((self.numbers.astype(np.uint64) * _MIX) >> np.uint64(33)).astype(np.int64)
         room = (self.numbers[v] << 20) | np.minimum(mixed[u] % parts[v], (1 << 20) - 1)
         group = ((((room.astype(np.uint64) * _MIX) >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
+        order = np.argsort(group.astype(np.min_scalar_type(groups)), kind="stable")  # few groups sort by radix
         self.group, self.room, self.u, self.w = group[order], room[order], self.numbers[u[order]], self.numbers[w[order]]
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))

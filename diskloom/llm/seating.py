@@ -91,9 +91,11 @@ class Seats:
         of = np.concatenate([of, np.repeat(who, part.t)])
         self.size = np.concatenate([self.size[rest], part.size])[np.argsort(of, kind="stable")]
 
-    def alone(self) -> np.ndarray:
-        """Tables of one customer, by dish."""
-        return np.bincount(np.repeat(np.arange(len(self.t)), self.t), self.size == 1, minlength=len(self.t))
+    def alone(self, who: np.ndarray) -> np.ndarray:
+        """Tables of one customer of some dishes."""
+        upto = np.concatenate(([0], np.cumsum(self.size == 1)))
+        low = self._first()[who]
+        return upto[low + self.t[who]] - upto[low]
 
 
 def first_tables(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -160,7 +162,9 @@ class Hierarchy:
             upper, room = self.upper[self.live[who]], self.room[self.live[who]]
             gone = self.low.leave(who)
             # The parent as it is without this customer.
-            lone = gone & (rng.random(len(who)) * self.mid.c[upper] < self.mid.alone()[upper])
+            lone = np.zeros(len(who), bool)
+            left = np.flatnonzero(gone)
+            lone[left] = rng.random(len(left)) * self.mid.c[upper[left]] < self.mid.alone(upper[left])
             m = self.middle[upper]
             p2 = self.mid.c[upper] - gone - self.d2 * (self.mid.t[upper] - lone) + (self.s2 + self.d2 * (self.tables2[m] - lone)) * self.parent[upper]
             p2 = p2 / (self.s2 + self.customers2[m] - gone)
