@@ -12,7 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from diskloom.llm import entries, exact_dedup, html_text, language_model, media, mixing, packing, quality, repeats, simhash, textops, token_counts, tokens
+from diskloom.llm import entries, exact_dedup, html_text, media, mixing, packing, quality, repeats, simhash, textops, token_counts, tokens
 from tests.llm import corpus
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -107,77 +107,6 @@ def test_packing_of_any_histogram(seed):
     assert len(fill) <= math.ceil(len(free) * 1.02) + 1
 
 
-# ---- language model ----------------------------------------------------------------------
-
-
-def test_scores_count_exactly_and_predict(docs, none, spark):
-    rows = language_model.score(docs, block_tokens=2000, share=1 / 256).collect()
-    said = {}
-    for i, t, *_ in corpus.rows():
-        words = [*corpus.WORD.findall((t or "").translate(corpus.LOW)), None]
-        said.setdefault((i, len(words)), []).append((words, zlib.crc32(str("" if i is None else i).encode()) % 10 == 0))
-    train = Counter(w for many in said.values() for words, held in many if not held for w in words)
-    n, v = sum(train.values()), len(train)
-    assert len(rows) == len(corpus.rows())
-    for r in rows:
-        words, held = said[r["doc_id"], r["n_tokens"]][0]
-        assert (r["held_out"], r["n_known"], r["train_tokens"]) == (held, sum(train[w] > 0 for w in words), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words), rel=1e-9)
-        assert r["score"] < 0
-    assert language_model.score(none).count() == 0
-
-
-def test_probabilities_sum_to_one(spark):
-    """One document per word: the scores of all words after one context, and of an unknown one, add up."""
-    rng = random.Random(3)
-    vocabulary = [f"v{i}" for i in range(40)]
-    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
-    ids = iter(range(100_000))
-    data = []
-    for _ in range(300):
-        i = next(i for i in ids if not held(i))
-        data.append((i, " ".join(rng.choices(vocabulary, weights=[1 / (k + 1) for k in range(40)], k=12))))
-    for word in [*vocabulary, "never"]:
-        data.append((next(i for i in ids if held(i)), f"v0 {word}"))
-    start = next(i for i in ids if held(i))
-    data.append((start, "v0"))
-    rows = {r["doc_id"]: r["score"] for r in language_model.score(spark.createDataFrame(data, "doc_id long, text string"), share=1.0).collect()}
-    assert len(rows) == len(data)
-    # With no contexts of their own all words share one restaurant: p(v0) p(w) p(end) for each w.
-    ends = rows[start]  # p(v0) p(end)
-    total = sum(10 ** (rows[i] - ends) for i, _ in data[300:-1])
-    end = 10 ** (rows[start] - (rows[data[300][0]] - ends))  # p(v0) p(end) / p(v0) = p(end), as v0 is the first word
-    assert total + end == pytest.approx(1.0, abs=1e-4)
-
-
-def test_rare_words_are_contexts_too(spark):
-    """In 10,000 tokens a word seen twice foretells the one that always follows it."""
-    rng = random.Random(5)
-    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
-    train, asked = ([i for i in range(5000) if held(i) == x] for x in (False, True))
-    texts = [" ".join(rng.choices([f"v{k}" for k in range(50)], k=20)) for _ in range(500)]
-    texts[:2] = [t + " rare next" for t in texts[:2]]
-    data = [*zip(train, texts), (asked[0], "rare next"), (asked[1], "rare"), (asked[2], "v1 next"), (asked[3], "v1")]
-    rows = {r["doc_id"]: r["score"] for r in language_model.score(spark.createDataFrame(data, "doc_id long, text string")).collect()}
-    # Both pairs of texts differ by p(next | context) p(end | next) / p(end | context).
-    assert rows[asked[0]] - rows[asked[1]] > rows[asked[2]] - rows[asked[3]] + 1
-
-
-def test_seats_follow_the_restaurant_s_law():
-    """Tables of one dish under Gibbs steps have the mean that exact enumeration gives."""
-    d, weight, c = 0.5, 0.7, 6
-    odds, rng = language_model.alone_odds(d), np.random.default_rng(0)
-    stirling = {(1, 1): 1.0}
-    for k in range(2, c + 1):
-        for t in range(1, k + 1):
-            stirling[k, t] = stirling.get((k - 1, t - 1), 0) + (k - 1 - d * t) * stirling.get((k - 1, t), 0)
-    law = np.array([stirling[c, t] * weight**t for t in range(1, c + 1)])
-    law /= law.sum()
-    tables = language_model.seat(np.full(20000, c), np.full(20000, weight), d, rng)
-    tables = language_model.reseat(np.full(20000, c), tables, np.full(20000, weight), d, odds, rng, 60)
-    assert np.bincount(tables, minlength=c + 1)[1:] / 20000 == pytest.approx(law, abs=0.02)
-
-
 # ---- repeats -----------------------------------------------------------------------------
 
 
