@@ -135,7 +135,7 @@ def test_repeats_across_many_buckets(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "61")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        rows = {r["doc_id"]: r for r in repeats.remove_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+        rows = {r["doc_id"]: r for r in repeats.remove_repeats(spark.createDataFrame(data, "doc_id long, text string"), range_rows=16).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
@@ -143,13 +143,58 @@ def test_repeats_across_many_buckets(spark):
         assert rows[i]["kept"] == bytes(x for x, m in zip(text.encode(), mark) if not m), i
 
 
-def test_multikey_order():
+@pytest.mark.parametrize("few", [1, 48])
+def test_multikey_order(few):
     rng = np.random.default_rng(2)
     tokens_ = rng.integers(0, 3, (500, 8)).astype(np.uint64)
-    order = repeats.multikey_order(tokens_)
+    order = repeats.multikey_order(tokens_, few)
     assert [tuple(x) for x in tokens_[order]] == sorted(map(tuple, tokens_))
 
 
+def test_equal_hashes_are_not_taken_for_equal_strings(spark, monkeypatch):
+    """All grams hash alike, so every anchor is followed up; only equal bytes go."""
+    monkeypatch.setattr(repeats, "gram_hashes", lambda data: np.zeros(max(0, len(data) - repeats.GRAM + 1), np.uint64))
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choices("ab", k=n))
+    core = letters(260)
+    texts = [letters(rng.randrange(150, 600)) + (core if i % 3 else core[:199]) + letters(rng.randrange(90)) for i in range(20)]
+    found = [b for b in _anchored(texts)]
+    assert found == [bytes(x) for x in corpus.repeats([t.encode() for t in texts])]
+
+
+def _anchored(texts):
+    """The covered bytes of some texts by anchors and compare(), without Spark."""
+    import pyarrow as pa
+
+    data, off = textops.utf8(pa.array(texts))
+    row, at, _, near, far = repeats.anchors(data, off)
+    begin = at - far
+    lefts = [data[off[r] + a : off[r] + a + f].tobytes() for r, a, f in zip(row, begin, far)]
+    rights = [data[off[r] + p : off[r] + p + repeats.LENGTH - n].tobytes() for r, p, n in zip(row, at, near)]
+    covered, _ = repeats.compare(lefts, rights, near, far, np.ones(len(row), np.int64))
+    marks = [bytearray(len(t.encode())) for t in texts]
+    for i, d in zip(*np.nonzero(covered)):
+        a = at[i] - d
+        marks[row[i]][a : a + repeats.LENGTH] = b"\1" * repeats.LENGTH
+    return [bytes(x) for x in marks]
+
+
+def test_long_texts_are_read_in_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    core = "".join(rng.choices("abcdefgh", k=300))
+    text = "".join(rng.choices("abcdefgh", k=5000)) + core + "".join(rng.choices("abcdefgh", k=777)) + core
+    data, off = textops.utf8(pa.array([text, "", "short", text[:450]]))
+    whole = {(int(r), int(p) - int(d)) for r, p, _, n, f in zip(*repeats.anchors(data, off)) for d in range(n, f + 1)}
+    parts = set()
+    for own, ends, rows, places in repeats._slices(data, off, 512):
+        assert len(own) <= 2 * 512 + repeats.LENGTH
+        for r, p, _, n, f in zip(*repeats.anchors(own, ends)):
+            parts |= {(int(rows[r]), int(places[r] + p) - d) for d in range(n, f + 1)}
+    assert parts == whole
+
+
 # ---- pages -------------------------------------------------------------------------------
 
 
