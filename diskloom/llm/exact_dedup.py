@@ -1,13 +1,14 @@
 """Exact deduplication in three combining stages, native expressions only.
 
-1. *Local*: the partial aggregation folds equal texts of one input partition before
+1. *Local*: the partial aggregation folds equal texts of one run of input rows before
    anything is shuffled.
-2. *Salted*: digest groups are merged per salt, so a text that makes up a third of all
-   rows is spread over as many tasks as there are salts.
+2. *Salted*: digest groups are merged per salt (a run of rows of one input partition), so
+   a text that makes up a third of all rows is spread over as many groups as there are runs.
 3. *Global*: the salt winners of each text (at most one row per salt) are combined.
 
-The grouping key of every stage holds the whole normalised text beside its digest, so
-two texts are joined only if they are equal, never because their digests are.
+Wherever groups are formed, the key holds the whole normalised text beside its digest, so
+two texts are joined only if they are equal, never because their digests are.  What comes
+after refers to a salted group by its number.
 """
 
 from __future__ import annotations
@@ -26,62 +27,48 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), _WHITE, "")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
+def _members(rows: DataFrame, salt_rows: int) -> DataFrame:
+    """All of ``rows`` (id, text, rid) with their group's winner: ``id, rid, keep_id, group_size, kept, sha, n``."""
+    salt = F.floor(F.monotonically_increasing_id() / salt_rows)
+    keyed = rows.select("id", "rid", F.char_length("text").alias("n"), normalised(F.col("text")).alias("norm"), salt.alias("salt")).withColumn("sha", F.sha2(F.encode("norm", "UTF-8"), 256))
+    rank = F.struct((-F.col("n")).alias("less"), F.isnull("id").alias("none"), F.col("id").alias("id"), F.col("rid").alias("rid"))
+    salted = (
+        keyed.groupBy("sha", "norm", "salt")
+        .agg(F.min(rank).alias("win"), F.count(F.lit(1)).alias("n_rows"), F.collect_list(rank).alias("members"))
+        .select(F.monotonically_increasing_id().alias("group"), "sha", "norm", "win", "n_rows", "members")
+    )
+    salted = scratch.table(salted, "dedup-salted")  # written: the numbers must not change
+    same = Window.partitionBy("sha", "norm")
+    winners = salted.select("group", "sha", "norm", "win", "n_rows").select("group", F.min(F.struct("win", "group")).over(same).alias("best"), F.sum("n_rows").over(same).alias("group_size"))
+    # The members that a salted group stands for; sorting puts its winner first.
+    return salted.select("group", "sha", "members").join(winners, "group").select(
+        F.posexplode(F.array_sort("members")).alias("place", "member"), "sha", "best", "group", "group_size"
+    ).select(
+        "member.id", "member.rid", F.col("best.win.id").alias("keep_id"), "group_size", ((F.col("place") == 0) & (F.col("group") == F.col("best.group"))).alias("kept"), "sha", (-F.col("member.less")).cast("long").alias("n")
+    )
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt_rows: int = 1 << 16) -> DataFrame:
     """One row per input row: which row of its group of equal texts stays.
 
     Returns ``doc_id, keep_id, group_size, kept, text_sha256, n_points``.  The row with the
     most code points in the original text stays, then the smallest id (null ids last).
-    Null texts count as empty; empty texts form a group like any other; of rows repeated
-    with the same id exactly one is kept; an empty table gives an empty table; further
-    columns of ``docs`` are neither read nor returned, whatever their names.
+    Null texts count as empty; empty texts form a group like any other; texts of any length
+    are compared whole; of rows repeated with the same id exactly one is kept; an empty table
+    gives an empty table; further columns of ``docs`` are neither read nor returned, whatever
+    their names.  A salted group lists ``salt_rows`` members at most.
     """
-    spark = docs.sparkSession
-    salts = salts or scratch.width(spark)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = (
-        docs.select(F.col(id_col).alias("id"), text.alias("text"))
-        .select("id", F.char_length("text").alias("n"), normalised(F.col("text")).alias("norm"))
-        .select("id", "n", "norm", F.sha2(F.encode("norm", "UTF-8"), 256).alias("sha"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"))
-    )
-    rank = F.struct((-F.col("n")).alias("less"), F.isnull("id").alias("none"), F.col("id").alias("id"))
-    salted = scratch.table(
-        rows.groupBy("sha", "norm", "salt").agg(F.min(rank).alias("win"), F.count(F.lit(1)).alias("n_rows"), F.collect_list(rank).alias("members")),
-        "dedup-salted",
-    )
-    same = Window.partitionBy("sha", "norm")
-    first = F.min(F.struct("win", "salt")).over(same)
-    winners = salted.select("sha", "norm", "salt", "win", "n_rows").select(
-        "sha", "salt", "win", first.alias("best"), F.sum("n_rows").over(same).alias("group_size")
-    )
-    members = salted.select("sha", "salt", "win", "members")
-    joined = members.alias("m").join(
-        winners.alias("w"),
-        (F.col("m.sha") == F.col("w.sha")) & (F.col("m.salt") == F.col("w.salt")) & F.col("m.win").eqNullSafe(F.col("w.win")),
-    )
-    # The members that a salt winner stands for; sorting puts the winner itself first.
-    return joined.select(
-        F.posexplode(F.array_sort("m.members")).alias("place", "member"), F.col("m.sha").alias("sha"), F.col("m.salt").alias("salt"), "best", "group_size"
-    ).select(
-        F.col("member.id").alias("doc_id"),
-        F.col("best.win.id").alias("keep_id"),
-        F.col("group_size").cast("long").alias("group_size"),
-        ((F.col("place") == 0) & (F.col("salt") == F.col("best.salt"))).alias("kept"),
-        F.col("sha").alias("text_sha256"),
-        (-F.col("member.less")).cast("long").alias("n_points"),
-    )
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.lit(0).cast("long").alias("rid"))
+    return _members(rows, salt_rows).select(F.col("id").alias("doc_id"), "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.col("sha").alias("text_sha256"), F.col("n").alias("n_points"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("n_points").alias("__n"))
-    rows = docs.withColumns({
-        "__sha": F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256),
-        "__n": F.char_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long"),
-    })
-    one = Window.partitionBy("__sha", "__n", id_col).orderBy(F.lit(0))
-    return (
-        rows.join(kept, (rows["__sha"] == kept["__sha"]) & (rows["__n"] == kept["__n"]) & rows[id_col].eqNullSafe(kept["__id"]), "left_semi")
-        .withColumn("__row", F.row_number().over(one))
-        .where("__row = 1")
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt_rows: int = 1 << 16) -> DataFrame:
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.
+
+    Nulls, empty and long texts, ties, repeats and empty tables are treated as there; columns
+    may have any names, as rows travel as one struct beside a row number.
+    """
+    numbered = scratch.table(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "dedup-rows")
+    own = F.col("row")
+    rows = numbered.select(own[id_col].alias("id"), F.coalesce(own[text_col].cast("string"), F.lit("")).alias("text"), "rid")
+    return numbered.join(_members(rows, salt_rows).where("kept").select("rid"), "rid", "left_semi").select("row.*")

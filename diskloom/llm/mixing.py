@@ -4,7 +4,8 @@ Every document has a 30-bit hash of its id, read as three digits of ten bits.  W
 summed by source and first digit; the digit at which the running sum passes the budget is
 the boundary; only the documents of that one bucket are summed again by the next digit,
 and so on.  The documents below the threshold found in this way take one more copy, by a
-plain filter: documents are never sorted and never collected.
+plain filter, and those at the threshold the part that is left: documents are never sorted
+and never collected.
 """
 
 from __future__ import annotations
@@ -47,12 +48,14 @@ def shares(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WEI
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0) -> DataFrame:
     """Words that a weighted mix takes of each document.
 
-    Returns ``doc_id, size, source_size, target, taken, copies``, one row per input row.
-    A document is taken ``copies`` times as a whole (0 to ``most``).  Null or empty texts
-    have size 0 and take nothing; null sources are one source, the last; null ids hash
-    like a value of their own; rows that repeat an id share its hash and are taken alike;
-    an empty table gives an empty table; further columns are ignored.  What reaches the
-    driver is one row per source, as the targets depend on all of them.
+    Returns ``doc_id, size, source_size, target, taken, copies``, one row per input row.  A
+    source's taken words come within a word of its target for each row at its threshold
+    (one, but for repeated ids); ``copies`` is the same in whole documents.  Null or empty
+    texts have size 0 and take nothing; long ones are counted whole; null sources are one
+    source, the last; null ids hash like a value of their own; rows that repeat an id share
+    its hash and are taken alike; an empty table gives an empty table; further columns are
+    ignored, whatever their names.  What reaches the driver is one row per source, as the
+    targets depend on all of them; thresholds stay in tables.
     """
     spark = docs.sparkSession
     digits = F.pmod(F.xxhash64(F.lit("mix"), F.col(id_col)), F.lit(1 << (_DIGITS * _BITS)))
@@ -72,48 +75,42 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         whole = int(target[s] // size[s]) if size[s] else 0
         plan.append((s, size[s], float(target[s]), whole, float(target[s] - whole * size[s])))
     small = F.broadcast if len(plan) <= _BROADCAST_SOURCES else (lambda df: df)
-    schema = "source string, source_size long, target double, whole int, rest double"
-    plan = spark.createDataFrame(plan, schema)
+    plan = spark.createDataFrame(plan, "source string, source_size long, target double, whole int, rest double")
 
     # prefix: the hash digits fixed so far; below: words of the buckets before it.
-    bounds = plan.select("source", F.col("rest"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
+    bounds = plan.select("source", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("words"))
     for level in range(1, _DIGITS + 1):
         shift = (_DIGITS - level) * _BITS
         inside = (
             sized.alias("d")
             .join(small(bounds).alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.shiftright("d.hash", shift + _BITS) == F.col("b.prefix")))
             .groupBy("b.source", F.shiftright("d.hash", shift).alias("bucket"))
-            .agg(F.sum("d.size").alias("words"))
+            .agg(F.sum("d.size").alias("words"), F.first("b.rest").alias("rest"), F.first("b.below").alias("below"))
         )
         running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        steps = inside.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0))).alias("s")
-        passed = (
-            steps.join(small(bounds).alias("b"), F.col("s.source").eqNullSafe(F.col("b.source")))
-            .where(F.col("b.below") + F.col("s.before") <= F.col("b.rest"))
-            .groupBy("s.source")
-            .agg(F.max_by(F.struct("s.bucket", (F.col("b.below") + F.col("s.before")).alias("below"), "s.words", "b.rest"), "s.bucket").alias("x"))
-        )
-        found = passed.select("source", F.col("x.rest").alias("rest"), F.col("x.bucket").alias("prefix"), F.col("x.below").alias("below"), F.col("x.words").alias("words")).collect()
-        bounds = spark.createDataFrame([tuple(r)[:4] for r in found], "source string, rest double, prefix long, below long")
-    # The last bucket is one hash value: it is taken if that comes nearer to the budget.
-    last = [(r["source"], r["prefix"] + (abs(r["below"] + r["words"] - r["rest"]) <= abs(r["below"] - r["rest"]))) for r in found]
-    limit = plan.alias("p").join(spark.createDataFrame(last, "at string, threshold long").alias("t"), F.col("p.source").eqNullSafe(F.col("t.at")), "left")
-    copies = F.col("whole") + F.when((F.col("whole") < F.lit(most)) & (F.col("hash") < F.coalesce("threshold", F.lit(0))), 1).otherwise(0)
+        steps = inside.withColumn("below", F.col("below") + F.coalesce(F.sum("words").over(running), F.lit(0))).where("below <= rest")
+        last = steps.groupBy("source").agg(F.max_by(F.struct("rest", F.col("bucket").alias("prefix"), "below", "words"), "bucket").alias("x"))
+        bounds = scratch.table(last.select("source", "x.*"), "mix-bounds")
+    limit = plan.alias("p").join(small(bounds).alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")), "left").select(
+        "p.source", "p.source_size", "p.target", "p.whole", "t.prefix", F.least(F.lit(1.0), (F.col("t.rest") - F.col("t.below")) / F.nullif("t.words", F.lit(0))).alias("part")
+    )
+    # The last bucket is one hash value: its documents take the same part of themselves.
+    more = F.when(F.col("whole") >= F.lit(most), 0.0).when(F.col("hash") < F.col("prefix"), 1.0).when(F.col("hash") == F.col("prefix"), F.coalesce("part", F.lit(0.0))).otherwise(0.0)
     return (
         sized.alias("d")
         .join(small(limit).alias("l"), F.col("d.source").eqNullSafe(F.col("l.source")))
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("int").alias("copies"))
+        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("whole") + F.round(F.col("size") * more)).cast("long").alias("taken"), (F.col("whole") + F.round(more)).cast("int").alias("copies"))
     )
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` with all their columns, each as often as :func:`mix` takes it.
+    """The rows of ``docs`` with all their columns, each as often as :func:`mix` takes it as a whole.
 
-    Rows that repeat an id are taken alike, so the decision is looked up once per id.
+    A document taken in part stays out or comes once more, whichever is nearer.  Rows that
+    repeat an id are taken alike, so the decision is looked up once per id.  Nulls, empty
+    texts and empty tables are treated as there; columns may have any names, as rows travel
+    as one struct.
     """
-    taken = mix(docs, id_col, text_col, source_col).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    return (
-        docs.join(taken, docs[id_col].eqNullSafe(taken["__id"]))
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    taken = mix(docs, id_col, text_col, source_col).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
+    rows = docs.select(F.col(id_col).alias("at"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(taken, F.col("at").eqNullSafe(F.col("doc_id"))).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -27,15 +27,17 @@ from .tokens import encoder
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, special: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts as ids and one end id, cut into pieces of ``capacity`` only where longer.
 
     The first piece of a long text takes the remainder, the others are full.  A null or
-    empty text is one piece that holds the end id alone; null ids stay null.
+    empty text is one piece that holds the end id alone; null ids stay null; repeated rows
+    are cut each; an empty table gives an empty table; further columns are ignored, whatever
+    their names.  ``special`` says whether a special token's string in a text is its id.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, special)
         for batch in batches:
             for part in textops.pieces(batch, "text"):
                 data, off = textops.utf8(part.column("text"))

@@ -197,11 +197,18 @@ def _score(model: Model, data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the model does not reject."""
+    """The rows of ``docs``, with all their columns, that the model does not reject.
+
+    Null and empty texts are scored like one passage without characters; long texts are
+    read whole; repeated rows are judged alike; an empty table gives an empty table; columns
+    may have any names.
+    """
+    own = f"c{docs.columns.index(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in textops.pieces(batch, text_col, 1 << 20):
-                yield part.filter(pa.array(_score(model, *textops.utf8(part.column(text_col))) >= threshold))
+            for part in textops.pieces(batch, own, 1 << 20):
+                yield part.filter(pa.array(_score(model, *textops.utf8(part.column(own))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -240,8 +240,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", t
     bits = int(min(24, max(4, np.ceil(np.log2(max(1, own.count()) * 2081 / 2e6)))))
     roots = components(links(own, bits))
     classed = own.join(roots, own["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    named = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_mark = classed.join(named, "root").select("fingerprint", "component_id")
+    # A giant class is named in two steps, and its name goes to as many salts as it has.
+    salts = scratch.width(docs.sparkSession)
+    classed = scratch.table(classed.withColumn("salt", F.pmod(F.xxhash64("fingerprint"), F.lit(salts))), "classed")
+    partly = classed.groupBy("root", "salt").agg(F.min("least").alias("least"))
+    named = partly.groupBy("root").agg(F.min("least").alias("component_id"), F.collect_list("salt").alias("own"))
+    by_mark = classed.join(named.select("root", "component_id", F.explode("own").alias("salt")), ["root", "salt"]).select("fingerprint", "component_id")
     return marks.join(by_mark, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -250,7 +254,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", t
 def keep_one(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose id names their class.
 
-    Rows that repeat that id are equal in class and all stay; deduplicate exactly first.
+    Nulls, empty and long texts and empty tables are treated as by :func:`near_duplicates`;
+    rows that repeat the id are equal in class and all stay, so deduplicate exactly first;
+    columns may have any names, as rows travel as one struct.
     """
-    kept = near_duplicates(docs, shingle, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")
+    kept = near_duplicates(docs, shingle, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    rows = docs.select(F.col(id_col).alias("at"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(kept, F.col("at").eqNullSafe(F.col("doc_id")), "left_semi").select("row.*")

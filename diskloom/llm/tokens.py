@@ -10,6 +10,7 @@ the distinct ones, each is encoded once, and numpy gathers the rest.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -35,14 +36,34 @@ def _byte_letters() -> dict[str, int]:
 
 
 class SegmentEncoder:
-    """Encodes concatenated UTF-8 texts to flat id arrays."""
+    """Encodes concatenated UTF-8 texts to flat id arrays.
 
-    def __init__(self, path: str):
+    With ``special`` the strings of special tokens in a text become their ids, as the library
+    does by default; without it they are ordinary text.
+    """
+
+    def __init__(self, path: str, special: bool = False):
         self._encode = _rank_encoder(path) or _library_encoder(path)
+        self._special = _special_strings(path) if special else []
+        self._whole = _library_encoder(path, True) if self._special else None
         self._seen: dict[bytes, list[int]] = {}
 
     def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and where each row's ids start (one more at the end)."""
+        ids, at = self._plain(data, off)
+        raw = data.tobytes() if self._special else b""
+        places = [m for x in self._special for m in _places(raw, x)]
+        if not places:
+            return ids, at
+        parts, done = [], 0  # the few texts that hold such a string are encoded whole
+        sizes = np.diff(at)
+        for row in np.unique(np.searchsorted(off, places, side="right") - 1).tolist():
+            own = self._whole(raw[off[row] : off[row + 1]].decode("utf-8", "replace"))
+            parts += [ids[done : at[row]], np.array(own, np.uint32)]
+            done, sizes[row] = at[row + 1], len(own)
+        return np.concatenate([*parts, ids[done:]]), np.concatenate(([0], np.cumsum(sizes)))
+
+    def _plain(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         cuts = _cuts(data, off)
@@ -106,15 +127,27 @@ def _rank_encoder(path: str):
     return tiktoken.Encoding("from-json", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-def _library_encoder(path: str):
+def _library_encoder(path: str, special: bool = False):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
+    own.encode_special_tokens = not special
     return lambda text: own.encode(text, add_special_tokens=False).ids
 
 
+def _special_strings(path: str) -> list[bytes]:
+    with open(path, encoding="utf-8") as file:
+        return [x["content"].encode() for x in json.load(file).get("added_tokens", [])]
+
+
+def _places(raw: bytes, part: bytes) -> Iterator[int]:
+    at = raw.find(part)
+    while at >= 0:
+        yield at
+        at = raw.find(part, at + 1)
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str) -> SegmentEncoder:
+def encoder(path: str, special: bool = False) -> SegmentEncoder:
     """The worker's encoder for a vocabulary file."""
-    return SegmentEncoder(path)
+    return SegmentEncoder(path, special)
