@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,13 +29,18 @@ _MUTE = "script|style|noscript|template|textarea|title|svg|math|iframe|select|bu
 _FURNITURE = frozenset(("nav", "footer", "aside", "form", "menu", "dialog"))
 _HOLDERS = frozenset("div section nav header footer aside form article main ul ol dl table menu dialog figure blockquote details fieldset".split())
 _LINES = _HOLDERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr pre hr address figcaption caption body head html summary center".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|sidebar\w*|menu\w*|nav\w*|breadcrumb\w*|foot|footer\w*|comment\w*|disqus\w*|respond|replies|reply|"
-    r"cookie\w*|consent\w*|gdpr|notices?|alerts?|popup\w*|modal|overlay|newsletter\w*|subscribe\w*|subscription|signup|login|share|sharing|social\w*|related\w*|recommend\w*|widget\w*|toolbar|pagination|pager|search|copyright|legal)(?:$|[\s_-])",
-    re.I,
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars menu menus submenu nav navbar navigation breadcrumb "
+    "breadcrumbs foot footer footers comment comments commentlist commentform disqus respond replies reply cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter subscribe "
+    "subscription signup login share sharing social related recommended recommendations widget widgets toolbar pagination pager search searchform copyright legal".split()
+)
+#: Words that only say that something is a part of the page: the word before them tells what.
+_PARTS = frozenset(
+    "box boxes list lists item items container containers wrapper wrap area areas block blocks section sections bar slot slots unit units panel panels pane inner outer top bottom left right main body content contents "
+    "text links link posts post articles stories thread threads form forms group row col column columns holder zone region module title heading header buttons button icons icon message messages policy".split()
 )
 #: Names that are furniture unless they stand in an article, whose heading they may hold.
-_HEADS = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
+_HEADS = frozenset(("header", "masthead", "topbar"))
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<({_MUTE})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][\w:-]*+)([^>]*+)>",
@@ -43,6 +49,22 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
+def _says(value: str, names: frozenset[str]) -> bool:
+    """Whether a class or id says one of ``names``: its last word does, words for parts of a page aside.
+
+    So ``cookie-notice`` and ``comment-list`` do, but ``notice-period`` and ``related-work`` do not.
+    """
+    for name in value.split():
+        words = [w for w in re.split(r"[-_]+", name) if w and not w.isdigit()]
+        while words:
+            if words[-1] in names:
+                return True
+            if words[-1] not in _PARTS:
+                break
+            words.pop()
+    return False
+
+
 def _is_furniture(name: str, attributes: str, inside: bool) -> bool:
     """Whether an element is no part of an article; ``inside``: it stands in one."""
     if name in _FURNITURE or (name == "header" and not inside):
@@ -55,16 +77,15 @@ def _is_furniture(name: str, attributes: str, inside: bool) -> bool:
         elif kind == "hidden" or kind == "aria-hidden":
             if value != "false":
                 return True
-        elif name == "article" and any(_NAMES.fullmatch(x) for x in value.split()):
-            return True
-        elif name not in ("article", "main", "body", "html") and _NAMES.search(value):
-            return True
-        elif name not in ("article", "main", "body", "html") and not inside and _HEADS.search(value):
+        elif name == "article":
+            if any(x in _NAMES for x in value.split()):
+                return True
+        elif name not in ("main", "body", "html") and (_says(value, _NAMES) or (not inside and _says(value, _HEADS))):
             return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool, int]]:
+def lines(page: str, window: int = WINDOW) -> list[tuple[str, int, bool, bool, int]]:
     """``(text, characters within links, in an article, furniture, holder)`` of every line, in page order.
 
     ``holder`` numbers the innermost open block that holds the line (0: none).
@@ -86,7 +107,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool, int]]:
         linked = 0
 
     def gap() -> None:
-        found.extend([("", 0, False, False, 0)] * WINDOW)
+        found.extend([("", 0, False, False, 0)] * window)
 
     at = 0
     for token in _TOKEN.finditer(page):
@@ -134,18 +155,19 @@ def lines(page: str) -> list[tuple[str, int, bool, bool, int]]:
     return found
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE, part: float = SURGE_PART) -> str:
     """The article's blocks, one a line; empty if the page has none."""
     if not page:
         return ""
-    every = lines(page)
+    every = lines(page, window)
     sizes = []
     for text, linked, inside, furniture, _ in every:
         counts = not furniture and (inside or linked * 2 <= len(text))
         sizes.append(len(text) if counts else 0)
-    sums = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
+    upto = [0, *accumulate(sizes)]
+    sums = [upto[min(i + window, len(sizes))] - upto[i] for i in range(len(sizes))]
     peak = max(sums, default=0)
-    least = min(SURGE, SURGE_PART * peak)
+    least = min(surge, part * peak)
     runs: list[tuple[int, int]] = []
     i = 0
     while i < len(sums):
@@ -160,7 +182,7 @@ def main_text(page: str | None) -> str:
     inside = [any(every[j][2] for j in range(a, b) if sizes[j]) for a, b in runs]
     hinted = any(x and top == peak for x, top in zip(inside, tops))
     surged = [top >= least or (x and hinted) for x, top in zip(inside, tops)]
-    blocks = {every[j][4] for (a, b), yes in zip(runs, surged) if yes for j in range(a, b) if sizes[j]} - {0}
+    blocks = {every[j][4] for (a, b), yes in zip(runs, surged) if yes for j in range(a, b) if sizes[j]}
     kept = [every[j][0] for (a, b), yes in zip(runs, surged) for j in range(a, b) if sizes[j] and (yes or every[j][4] in blocks)]
     return "\n".join(kept)
 
@@ -169,7 +191,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """``page_id, url, text, n_chars`` of every page, from its whole markup.
 
     Null, empty and text-free pages give the empty text; repeated pages are extracted
-    each; broken-off markup is read as far as it goes; further columns are ignored.
+    each; long and broken-off markup is read as far as it goes; null ids stay null; an empty
+    table gives an empty table; further columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -224,6 +224,47 @@ def test_text_beside_an_article():
     assert html_text.main_text(f"<article><p>{body}</p><nav>n</nav><p>end</p></article><div><p>(c)</p></div>") == f"{body}\nend"
 
 
+def test_names_are_read_as_whole_words():
+    assert html_text.main_text("<article><p class='notice-period'>Body one.</p><p>Two</p></article>") == "Body one.\nTwo"
+    assert html_text.main_text("<article><h1>T</h1><section class='related-work'><p>Others.</p></section><section id='search-algorithms'><p>Search.</p></section></article>") == "T\nOthers.\nSearch."
+    for name in ("cookie-notice", "ad", "ad-slot_2", "comment-list", "related-posts", "site-footer", "Sidebar", "nav-menu", "search-form", "x reader-comments"):
+        assert html_text.main_text(f"<article><p>Body.</p><div class='{name}'><p>Not this.</p></div></article>") == "Body.", name
+    body = "<p>" + "word " * 60 + "</p>"
+    page = f"<body><p>Intro para one.</p><ul class=menu><li><a href=a>A</a></ul>{body}<ul><li><a href=b>Link</a><li><a href=c>Link</a></ul><p>Closing words.</p></body>"
+    assert html_text.main_text(page) == "Intro para one.\n" + ("word " * 60).strip() + "\nClosing words."
+
+
+def test_the_window_decides_on_pages_with_articles():
+    page = f"<article><p>{'a' * 200}</p></article><div><p>{'b' * 30}</p><p>{'c' * 30}</p><p>{'d' * 30}</p></div>"
+    assert [len(html_text.main_text(page, window=w).split("\n")) for w in (1, 2, 3)] == [1, 4, 4]
+    assert html_text.main_text(page, part=0.9).count("b") == 30 and html_text.main_text(page, surge=300, part=0.9).count("b") == 0
+
+
+def by_windows(page, window):
+    """The method, written out: lines between surges and dives of window sums, and lines of their blocks."""
+    every = html_text.lines(page, window)
+    size = [len(t) if not furniture and (inside or 2 * linked <= len(t)) else 0 for t, linked, inside, furniture, _ in every]
+    total = lambda i: sum(size[i : i + window])
+    peak = max(map(total, range(len(size))), default=0)
+    run, number = [], 0
+    for i in range(len(size)):
+        number += total(i) == 0
+        run.append(number if total(i) else None)
+    of = lambda n: [i for i in range(len(size)) if run[i] == n and size[i]]
+    hinted = any(total(i) == peak and any(every[j][2] for j in of(run[i])) for i in range(len(size)) if run[i] is not None)
+    surges = {n for n in set(run) - {None} if max(total(i) for i in range(len(size)) if run[i] == n) >= min(86, 0.2 * peak) or (hinted and any(every[j][2] for j in of(n)))}
+    blocks = {every[i][4] for n in surges for i in of(n)}
+    return "\n".join(every[i][0] for i in range(len(size)) if size[i] and (run[i] in surges or every[i][4] in blocks))
+
+
+def test_pages_agree_with_windows_written_out(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    cut = [p.replace("<article>", "<div>").replace("</article>", "</div>") for p in pages]
+    for page in pages + cut:
+        for window in (1, 3, 5):
+            assert html_text.main_text(page, window) == by_windows(page, window)
+
+
 def test_pages(spark):
     rows = [(1, "u", "<p>x</p>", "clash"), (1, "u", "<p>x</p>", "clash"), (None, None, None, None)]
     found = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
