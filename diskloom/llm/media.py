@@ -32,6 +32,8 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     The payload is the UTF-8 text (null: empty) with bytes 32 appended up to a positive
     multiple of 192, one 8-bit mono sample a byte; ``n_bytes`` is its length before that.
+    Long texts are stored whole; null ids stay null; repeated rows are stored each; an empty
+    table gives an empty table; further columns are ignored, whatever their names.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,8 +97,10 @@ def describe(stored: DataFrame) -> DataFrame:
     """Digests and fingerprints of stored media, from the bytes read back.
 
     Returns ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature, landmarks``.  Null and empty texts are one unit of spaces;
-    equal texts give equal values; rows are described each for itself.
+    media_sha256, feature, landmarks``.  Null and empty texts are one unit of spaces; equal
+    texts give equal values; long media are transformed a bounded number of frames at a
+    time; null ids stay null; repeated rows are described each; an empty table gives an
+    empty table; further columns are ignored.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

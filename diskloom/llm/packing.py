@@ -152,8 +152,8 @@ def solve(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 def pack(pieces: DataFrame, capacity: int = 2048, salts: int | None = None) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``, packed into as few sequences as best fit finds.
 
-    Rows that repeat an id are packed each for itself; an empty table gives an empty
-    table.  What reaches the driver is one count per length, ``capacity`` at most.
+    Rows that repeat an id are packed each for itself, null ids like others; an empty table
+    gives an empty table; further columns are dropped.  What reaches the driver is one count per length, ``capacity`` at most.
     """
     spark = pieces.sparkSession
     salts = salts or scratch.width(spark)

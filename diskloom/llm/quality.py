@@ -177,8 +177,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, folds: int = 5) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row's whole text.
 
-    Null and empty texts are one passage without characters; equal texts score equally;
-    repeated rows are scored each; further columns are ignored.
+    Null and empty texts are one passage without characters; long texts are read whole;
+    equal texts score equally; repeated rows are scored each; null ids stay null; an empty
+    table gives an empty table; further columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,11 +21,12 @@ Strings are equal only if their bytes are; every one is judged on the input.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch, textops
@@ -315,6 +316,18 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@contextmanager
+def _sampled(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Splitters come from so many rows a range; Spark sends them to the driver, a million at most."""
+    name = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 1 << 15) -> DataFrame:
     """``doc_id, n_bytes, spans, kept`` of every row's whole text as UTF-8.
 
@@ -337,7 +350,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     folded = contexts.where("context is not null")
     suffixes = folded.select("id", F.expr("substring(context, 1, far)").alias("left"), F.expr("substring(context, far + 1, 200)").alias("right"), "near", "far", "n")
     ranges = max(16, -(-folded.count() // range_rows))
-    found = scratch.table(suffixes.repartitionByRange(ranges, "right", "left").mapInArrow(_bucket, _FOUND), "found")
+    with _sampled(docs.sparkSession, 20):
+        found = scratch.table(suffixes.repartitionByRange(ranges, "right", "left").mapInArrow(_bucket, _FOUND), "found")
 
     edge = found.where("string is not null")
     across = edge.groupBy("string").agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).where("a <> b").select("string")

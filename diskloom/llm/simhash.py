@@ -12,6 +12,7 @@ no group is expanded to pairs and the connected classes are the same.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
 
     Shingles of ``shingle`` lower-cased words joined by one space, repeats included; a
     shorter text is one shingle; a text without words (null, empty) has fingerprint 0.
+    Rows are marked each for itself, whole texts of any length; null ids stay null.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,6 +82,7 @@ def _majority(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return rows
 
 
+@lru_cache(maxsize=64)
 def _flips(bits: int) -> list[np.ndarray]:
     """Masks that flip none, one and two of the lowest ``bits`` bits."""
     one = np.uint64(1) << np.arange(bits, dtype=np.uint64)
@@ -104,12 +107,11 @@ def links(marks: DataFrame, bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().astype(np.int64)), pa.array(np.repeat(x, len(top)).view(np.int64))], ["bucket", "fingerprint"])
 
     def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips = _flips(low)
         held: list[np.ndarray] = []
         now = None
 
         def close() -> Iterator[pa.RecordBatch]:
-            a, b = _stars(np.concatenate(held), now, low, flips)
+            a, b = _stars(np.concatenate(held), now, low)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
@@ -132,53 +134,59 @@ def links(marks: DataFrame, bits: int) -> DataFrame:
     return dealt.mapInArrow(collide, "a long, b long").distinct()
 
 
-def _stars(own: np.ndarray, bucket: int, low: int, flips: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the owners of equal variants of one bucket, each to the smallest owner."""
-    head = np.uint64(bucket << low) if low < 64 else np.uint64(0)
+#: Variants of a bucket that are written out at once.
+_VARIANTS = 4_000_000
+
+
+def _stars(own: np.ndarray, bucket: int, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the owners of equal variants of one bucket (the bits above ``low``), each to the smallest owner.
+
+    A crowded bucket is dealt out again by a few more bits, so every variant is still
+    written once and memory is bounded.
+    """
     away = np.bitwise_count((own >> np.uint64(low)) ^ np.uint64(bucket)) if low < 64 else np.zeros(len(own), np.uint8)
-    rest = (own & np.uint64((1 << low) - 1)) | head
-    found_a, found_b = [], []
-    # Variants by a few of their bits, so that a crowded bucket needs bounded memory.
+    flips = _flips(low)
     total = sum(int((away == k).sum()) * sum(len(f) for f in flips[: 3 - k]) for k in range(3))
-    parts = 1 << max(0, int(np.ceil(np.log2(max(1, total) / 4e6))))
-    for part in range(parts):
-        values, owners = [], []
-        for k in range(3):
-            who = np.flatnonzero(away == k)
-            for flip in flips[: 3 - k]:
-                for lo in range(0, len(who), max(1, (1 << 20) // len(flip))):
-                    x = who[lo : lo + max(1, (1 << 20) // len(flip))]
-                    v = (rest[x][:, None] ^ flip[None, :]).ravel()
-                    o = np.repeat(x, len(flip))
-                    if parts > 1:
-                        keep = np.flatnonzero(((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(parts) == np.uint64(part))
-                        v, o = v[keep], o[keep]
-                    values.append(v)
-                    owners.append(o.astype(np.int32))
-        v, o = np.concatenate(values), np.concatenate(owners)
-        ordered = np.sort(v)
-        twice = ordered[1:][ordered[1:] == ordered[:-1]]
-        if not len(twice):
-            continue
-        sieve = np.zeros(1 << 20, dtype=bool)
-        mix = lambda z: ((z * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        sieve[mix(twice)] = True
-        near = np.flatnonzero(sieve[mix(v)])
-        twice = np.unique(twice)
-        at = np.searchsorted(twice, v[near])
-        hit = twice[np.minimum(at, len(twice) - 1)] == v[near]
-        v, x = v[near][hit], own[o[near][hit]]
-        order = np.lexsort((x, v))
-        v, x = v[order], x[order]
-        lead = np.concatenate(([True], v[1:] != v[:-1]))
-        least = x[np.flatnonzero(lead)][np.cumsum(lead) - 1]
-        real = (least != x) & (np.bitwise_count(least ^ x) <= 4)
-        pairs = np.unique(np.stack([least[real], x[real]], axis=1), axis=0)
-        found_a.append(pairs[:, 0])
-        found_b.append(pairs[:, 1])
-    if not found_a:
+    if total > _VARIANTS and low:
+        more = min(low, 8, int(np.ceil(np.log2(total / _VARIANTS))) + 1)
+        part = (own >> np.uint64(low - more)) & np.uint64((1 << more) - 1)
+        found = []
+        for child in range(1 << more):
+            who = away + np.bitwise_count(part ^ np.uint64(child)) <= 2
+            if np.count_nonzero(who) > 1:
+                found.append(_stars(own[who], bucket << more | child, low - more))
+        if not found:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return _folded(*(np.concatenate(x) for x in zip(*found)))
+
+    head = np.uint64(bucket << low) if low < 64 else np.uint64(0)
+    rest = (own & np.uint64((1 << low) - 1)) | head
+    values, owners = [], []
+    for k in range(3):
+        who = np.flatnonzero(away == k)
+        for flip in flips[: 3 - k]:
+            values.append((rest[who][:, None] ^ flip[None, :]).ravel())
+            owners.append(np.repeat(who, len(flip)).astype(np.int32))
+    v, o = np.concatenate(values), np.concatenate(owners)
+    ordered = np.sort(v)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return _folded(np.concatenate(found_a), np.concatenate(found_b))
+    sieve = np.zeros(1 << 20, dtype=bool)
+    mix = lambda z: ((z * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+    sieve[mix(twice)] = True
+    near = np.flatnonzero(sieve[mix(v)])
+    twice = np.unique(twice)
+    at = np.searchsorted(twice, v[near])
+    hit = twice[np.minimum(at, len(twice) - 1)] == v[near]
+    v, x = v[near][hit], own[o[near][hit]]
+    order = np.lexsort((x, v))
+    v, x = v[order], x[order]
+    lead = np.concatenate(([True], v[1:] != v[:-1]))
+    least = x[np.flatnonzero(lead)][np.cumsum(lead) - 1]
+    real = (least != x) & (np.bitwise_count(least ^ x) <= 4)
+    pairs = np.unique(np.stack([least[real], x[real]], axis=1), axis=0)
+    return _folded(pairs[:, 0], pairs[:, 1])
 
 
 def _folded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,14 +238,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", t
     """``doc_id, fingerprint, component_id`` for every row of ``docs``.
 
     Fingerprints at 4 or fewer differing bits are linked; ``component_id`` is the smallest
-    id reachable.  Null and empty texts have fingerprint 0, linked like any other; null
-    ids are never a component's id unless it has no other; repeated rows share a class; an
-    empty table gives an empty table; further columns are ignored.
+    id reachable.  Null and empty texts have fingerprint 0, linked like any other; long
+    texts count whole; null ids are never a component's id unless it has no other; repeated
+    rows share a class; an empty table gives an empty table; further columns are ignored,
+    whatever their names.
     """
     marks = scratch.table(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     own = scratch.table(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     # About four million variants to a bucket, at any number of fingerprints.
-    bits = int(min(24, max(4, np.ceil(np.log2(max(1, own.count()) * 2081 / 2e6)))))
+    bits = int(min(63, max(4, np.ceil(np.log2(max(1, own.count()) * 2081 / 2e6)))))
     roots = components(links(own, bits))
     classed = own.join(roots, own["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     # A giant class is named in two steps, and its name goes to as many salts as it has.

@@ -26,8 +26,13 @@ def write_flat(docs: DataFrame, vocabulary: str, end_id: int, block_tokens: int
 
     Returns ``file, block, content, doc_ids``: blocks are cut regardless of documents, and
     ``doc_ids`` names the documents whose separator lies in the block, in order.  Null and
-    empty texts are a separator alone.
+    empty texts are a separator alone; long texts fill as many blocks as they need; a special
+    token's string in a text is ordinary text, never a separator; null ids stay null;
+    repeated rows are written each; an empty table gives an empty table; further columns are
+    ignored, whatever their names.  Ids above 16 bits are an error.
     """
+    if end_id > 0xFFFF:
+        raise ValueError("the end id does not fit 16 bits")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, file = encoder(vocabulary), TaskContext.get().partitionId()
@@ -55,6 +60,8 @@ def write_flat(docs: DataFrame, vocabulary: str, end_id: int, block_tokens: int
             for part in textops.pieces(batch, "text"):
                 data, off = textops.utf8(part.column("text"))
                 found, at = encode(data, off)
+                if len(found) and int(found.max()) > 0xFFFF:
+                    raise ValueError("an id does not fit 16 bits")
                 counts = np.diff(at)
                 ends = np.cumsum(counts + 1) - 1
                 flat = np.full(int(counts.sum() + len(counts)), end_id, dtype="<u2")
