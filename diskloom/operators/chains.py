@@ -20,7 +20,8 @@ def follow(table: DataFrame, starts: DataFrame, volume: str = "volume") -> DataF
 
     ``table`` has ``volume, cluster, next``.  A chain goes on while its cluster lies in 002
     to FEF and ends silently at any other value; clusters without a row count as free.  One
-    that meets itself is cut there and marked circular.  A start below 2 gives no row.
+    that meets itself is cut there and marked circular.  A start below 2 gives no row.  Table
+    rows above FEF, which no volume of the format has, are an error.
     """
     kind = dict(table.dtypes)[volume]
     key = dict(starts.dtypes)["id"]
@@ -29,6 +30,8 @@ def follow(table: DataFrame, starts: DataFrame, volume: str = "volume") -> DataF
     def run(own: pa.Table, heads: pa.Table) -> pa.Table:
         following = np.zeros(CHAIN_LAST + 1, np.int64)
         cluster = own.column("cluster").to_numpy()
+        if len(cluster) and int(cluster.max()) > CHAIN_LAST + 1:
+            raise ValueError(f"a volume has cluster {int(cluster.max())}, the format ends at {CHAIN_LAST}")
         held = (cluster >= 0) & (cluster <= CHAIN_LAST)
         following[cluster[held]] = own.column("next").to_numpy()[held]
         ids, pos, clusters, circular = [], [], [], []
@@ -43,12 +46,14 @@ def follow(table: DataFrame, starts: DataFrame, volume: str = "volume") -> DataF
             pos += range(len(seen))
             clusters += seen
             circular += [at in seen] * len(seen)
-        where = (heads if heads.num_rows else own).column(volume)[0].as_py()
+        where = heads.column("of")[0].as_py() if heads.num_rows else own.column(volume)[0].as_py()
         field = heads.schema.field("id").type
         return pa.table({volume: pa.array([where] * len(ids), own.schema.field(volume).type), "id": pa.array(ids, field), "pos": pa.array(pos, pa.int32()), "cluster": pa.array(clusters, pa.int32()), "circular": pa.array(circular, pa.bool_())})
 
     left = table.select(volume, F.col("cluster").cast("int"), F.col("next").cast("int")).groupBy(volume)
-    return left.cogroup(starts.select(volume, "id", F.col("start").cast("int")).groupBy(volume)).applyInArrow(run, schema)
+    # New names, as both sides may come from one table.
+    right = starts.select(F.col(volume).alias("of"), F.col("id").alias("id"), F.col("start").cast("int").alias("start")).groupBy("of")
+    return left.cogroup(right).applyInArrow(run, schema)
 
 
 def usage(table: DataFrame, volume: str = "volume") -> DataFrame:

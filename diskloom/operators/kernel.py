@@ -11,6 +11,8 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from .integrity import Audit
+
 SECTOR, SLOT = 512, 32
 # Fixed values of the format: table entries and directory bytes.
 FREE, BAD, LAST, DELETED, END = 0x000, 0xFF7, 0xFFF, 0xE5, 0x00
@@ -20,6 +22,8 @@ ALLOWED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&'()-@^_`{}~ ")
 # Fixed layout of CP/M floppies.
 CPM_BLOCKS, CPM_BLOCK, CPM_DATA, CPM_DIRECTORY_SECTORS, CPM_STEP = 556, 2048, 112, 18, 2
 CPM_PLACES, CPM_DEFAULT, CPM_RECORD, CPM_EXTENT = (76, 94, 1), 76, 128, 16384
+#: What can be wrong with a parameter block, in the order it is looked for.
+BLOCK_FAULTS = ("The boot sector ends in %04X", "Sectors of %d bytes are not handled", "Clusters of %d sectors are not handled", "The number of tables is %d", "Tables have %d sectors")
 _ENTRY = struct.Struct("<8s3sB2xHH4xHHHI")
 
 
@@ -224,97 +228,8 @@ class FatVolume:
     # -- integrity --
 
     def verify(self) -> tuple[list[tuple[str, str, str, int | None, str]], dict[str, int]]:
-        """Findings ``(severity, code, path, cluster, message)`` in order, and counters."""
-        found: list[tuple[str, str, str, int | None, str]] = []
-        counts = dict.fromkeys(("files_checked", "directories_checked", "clusters_in_use", "lost_clusters", "bad_clusters", "cross_linked"), 0)
-        owners: dict[int, list[str]] = {}
-        add = lambda *x: found.append(x)
-
-        for number, least in ((0, 0xF00), (1, 0xFF8)):
-            value = self.entry(number)
-            if value < least:
-                add("warning", f"V{number + 1}", "", number, f"FAT entry {number} has unusual value: 0x{value:03X}")
-
-        def own(chain: list[int], path: str) -> None:
-            for c in chain:
-                owners.setdefault(c, []).append(path)
-
-        def visit(cluster: int | None, parent: str) -> None:
-            try:
-                entries = self.directory(cluster)
-            except Problem as problem:
-                add("error", "V3", parent, cluster, f"Cannot read directory {parent or 'root'}: {problem}")
-                return
-            counts["directories_checked"] += 1
-            for e in entries:
-                if e.is_dot:
-                    continue
-                path, c = (f"{parent}\\{e.full_name}" if parent else e.full_name), e.first_cluster
-                kind = "directory" if e.is_directory else "file"
-                if e.is_directory:
-                    if c < 2:
-                        add("error", "V4", path, c, f"Directory {path} has invalid first cluster: {c}")
-                        continue
-                    if c in owners:
-                        add("error", "V5", path, c, f"Circular reference: directory {path} points to already-used cluster {c}")
-                        continue
-                else:
-                    counts["files_checked"] += 1
-                    if not e.file_size:
-                        if c:
-                            add("warning", "V7", path, c, f"Empty file {path} has non-zero first cluster: {c}")
-                        continue
-                    if c < 2:
-                        add("error", "V8", path, c, f"File {path} has invalid first cluster: {c}")
-                        continue
-                try:
-                    chain = self.chain(c)
-                except Problem as problem:
-                    add("error", "V6", path, c, f"Invalid cluster chain for {kind} {path}: {problem}")
-                    continue
-                if e.is_directory:
-                    own(chain, path)
-                    visit(c, path)
-                    continue
-                due = -(-e.file_size // self.cluster_size)
-                if len(chain) != due:
-                    add("warning", "V9", path, c, f"File {path}: size {e.file_size} bytes suggests {due} clusters, but chain has {len(chain)} clusters")
-                own(chain, path)
-
-        visit(None, "")
-        for c, paths in owners.items():
-            if len(paths) > 1:
-                add("error", "V10", paths[0], c, f"Cross-linked cluster {c}: used by {', '.join(paths)}")
-                counts["cross_linked"] += 1
-        self._lost(set(owners), found, counts)
-        counts["bad_clusters"] = self.usage()[1]
-        if counts["bad_clusters"]:
-            add("warning", "V12", "", None, f"Found {counts['bad_clusters']} bad cluster(s) marked in FAT")
-        counts["clusters_in_use"] = len(owners)
-        return found, counts
-
-    def _lost(self, visited: set[int], found: list, counts: dict[str, int]) -> None:
-        """Allocated clusters that nothing owns; only the first five chains are listed."""
-        chains = []
-        for c in range(2, self.total_clusters + 2):
-            if c in visited or self.entry(c) in (FREE, BAD):
-                continue
-            try:
-                chain = self.chain(c)
-            except Problem:
-                chain = []
-                fresh = {c}
-            else:
-                fresh = set(chain) - visited
-            counts["lost_clusters"] += len(fresh)
-            visited |= fresh
-            if chain:
-                chains.append((c, len(chain)))
-        if chains:
-            found.append(("warning", "V11", "", None, f"Found {len(chains)} lost cluster chain(s) totaling {counts['lost_clusters']} clusters"))
-            found.extend(("warning", "V11", "", c, f"  Lost chain starting at cluster {c}, length {n}") for c, n in chains[:5])
-            if len(chains) > 5:
-                found.append(("warning", "V11", "", None, f"  ... and {len(chains) - 5} more"))
+        """Findings in order, and counters (see :mod:`.integrity`)."""
+        return Audit(self).run()
 
     # -- editing: every step checks before it changes anything --
 
@@ -553,7 +468,7 @@ class CpmVolume:
     def verify(self) -> tuple[list, dict[str, int]]:
         names = [f"{f.user}:{f.full_name}" for f in self.files()]
         again = sorted({n for n in names if names.count(n) > 1})
-        return [("warning", "V13", n, None, f"Duplicate file entry: {n}") for n in again], {"files_checked": len(names)}
+        return [("warning", "V13", n, None, f"Listed more than once: {n}") for n in again], {"files_checked": len(names)}
 
     def write_file(self, name: str, content: bytes, user: int = 0) -> None:
         """Write a file, over one of that name and user if there is one; full disks change nothing."""
@@ -631,15 +546,10 @@ def volumes(data: bytes | bytearray, kind: str) -> list[FatVolume | CpmVolume]:
 def _ibm(data: bytes, boot: bytes) -> FatVolume:
     per, reserved, copies, roots, fat = boot[0x0D], _u16(boot, 0x0E), boot[0x10], _u16(boot, 0x11), _u16(boot, 0x16)
     total = _u16(boot, 0x13) or _u32(boot, 0x20)
-    for wrong, message in (
-        (_u16(boot, 0x1FE) != 0xAA55, f"Invalid boot signature: 0x{_u16(boot, 0x1FE):04X}"),
-        (_u16(boot, 0x0B) != SECTOR, f"Unsupported bytes per sector: {_u16(boot, 0x0B)}"),
-        (per not in (1, 2, 4, 8), f"Invalid sectors per cluster: {per}"),
-        (not copies, "NumFATs cannot be zero"),
-        (not fat, "FATSize16 cannot be zero"),
-    ):
-        if wrong:
-            raise Problem("disk_error", message)
+    wrong = (_u16(boot, 0x1FE) != 0xAA55, _u16(boot, 0x1FE)), (_u16(boot, 0x0B) != SECTOR, _u16(boot, 0x0B)), (per not in (1, 2, 4, 8), per), (not copies, copies), (not fat, fat)
+    for (fault, value), text in zip(wrong, BLOCK_FAULTS):
+        if fault:
+            raise Problem("disk_error", text % value)
     root = reserved + copies * fat
     size = -(-roots * SLOT // SECTOR)
     name = "".join(chr(b) if b < 128 else "�" for b in boot[3:11]).strip()
@@ -706,12 +616,12 @@ def _like_directory(raw: bytes) -> bool:
 VICTOR_FORMATS = {"single": (1224, 1, 11, 0), "double": (2448, 2, 13, 1)}
 IBM_FORMATS = {"360K": (720, 2, 112, 9, 2, 0xFD), "720K": (1440, 3, 112, 9, 2, 0xF9), "1.2M": (2400, 7, 224, 15, 1, 0xF9), "1.44M": (2880, 9, 224, 18, 1, 0xF0)}
 FORMATS = [
-    ("victor_floppy", "single", "Victor 9000 single-sided floppy", "~600 KB", 1214),
-    ("victor_floppy", "double", "Victor 9000 double-sided floppy", "~1.2 MB", 2378),
-    ("ibm_floppy", "360K", 'IBM PC 5.25" DD floppy', "360 KB", None),
-    ("ibm_floppy", "720K", 'IBM PC 3.5" DD floppy', "720 KB", None),
-    ("ibm_floppy", "1.2M", 'IBM PC 5.25" HD floppy', "1.2 MB", None),
-    ("ibm_floppy", "1.44M", 'IBM PC 3.5" HD floppy', "1.44 MB", None),
+    ("victor_floppy", "single", "Victor 9000, one side", "612 KiB", 1214),
+    ("victor_floppy", "double", "Victor 9000, two sides", "1,224 KiB", 2378),
+    ("ibm_floppy", "360K", "5.25 inch, double density", "360 KiB", None),
+    ("ibm_floppy", "720K", "3.5 inch, double density", "720 KiB", None),
+    ("ibm_floppy", "1.2M", "5.25 inch, high density", "1,200 KiB", None),
+    ("ibm_floppy", "1.44M", "3.5 inch, high density", "1,440 KiB", None),
 ]
 
 

@@ -8,7 +8,6 @@ checked against another engine; images proper are built from documents as well.
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import binary, display, names, stamps
-from ..operators import chains, edits, search, tables
+from ..operators import chains, search, tables
 
 CLUSTER = 2048
 CAPACITY = 4078
@@ -44,13 +43,35 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---- volumes of documents ----------------------------------------------------------------
 
 
+def _before(rows: DataFrame, key: list[str], amount: str) -> DataFrame:
+    """``rows`` with ``s``, the sum of ``amount`` over all rows of a key that come before by ``id`` and ``part``.
+
+    Sums run within ranges of ids, and over the ranges, so a large key is not one task.
+    """
+    ranged = rows.withColumn("chunk", F.floor(F.col("id") / (1 << 16)))
+    every = [*key, "chunk"]
+    inside = Window.partitionBy(*every).orderBy("id", "part").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(*(key or [F.lit(0)])).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy(*every).agg(F.sum(amount).alias("sum")).select(*every, F.coalesce(F.sum("sum").over(over), F.lit(0)).alias("base"))
+    return ranged.withColumn("s", F.coalesce(F.sum(amount).over(inside), F.lit(0))).join(base, every).withColumn("s", (F.col("s") + F.col("base")).cast("long")).drop("chunk", "base")
+
+
+def _parts(files: DataFrame, most: int) -> DataFrame:
+    """Files of ``bytes`` cut where they are longer than a volume takes: ``part`` and ``file_size``."""
+    last = F.greatest(F.lit(0), F.ceil(F.col("bytes") / most) - 1)
+    return files.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("file_size", F.least(F.col("bytes") - F.col("part") * most, F.lit(most)).cast("long"))
+
+
+#: A volume takes the files that begin within so many clusters; one as long still fits behind.
+REACH = CAPACITY // 2
+
+
 def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files with their place: a volume a source, clusters handed out in order of id."""
-    files = _table(spark, sf_dir, "documents").select(
-        F.col("source").alias("volume"), F.col("doc_id").alias("id"), F.octet_length("text").cast("long").alias("file_size")
-    ).withColumn("n_clusters", F.ceil(F.col("file_size") / CLUSTER).cast("long"))
-    before = Window.partitionBy("volume").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("first_cluster", 2 + F.coalesce(F.sum("n_clusters").over(before), F.lit(0)))
+    """Files with their place: volumes of a source, each filled in order of id until half of it is taken."""
+    files = _table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").alias("id"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
+    each = _parts(files, REACH * CLUSTER).withColumn("n_clusters", F.ceil(F.col("file_size") / CLUSTER).cast("long"))
+    placed = _before(each, ["source"], "n_clusters").withColumn("volume", F.concat("source", F.lit("#"), F.floor(F.col("s") / REACH).cast("string")))
+    return placed.select("volume", "id", "file_size", "n_clusters", (2 + F.col("s") - F.min("s").over(Window.partitionBy("volume"))).cast("long").alias("first_cluster"))
 
 
 def fat_table(files: DataFrame) -> DataFrame:
@@ -63,10 +84,12 @@ def fat_table(files: DataFrame) -> DataFrame:
 
 
 _LAYOUT = f"""layout AS (
-  SELECT volume, id, file_size, n_clusters,
-         CAST(2 + coalesce(sum(n_clusters) OVER (PARTITION BY volume ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_cluster
-  FROM (SELECT source AS volume, doc_id AS id, CAST(octet_length(encode(text)) AS BIGINT) AS file_size,
-               CAST(ceil(octet_length(encode(text)) / {CLUSTER}.0) AS BIGINT) AS n_clusters FROM documents))"""
+  SELECT volume, id, file_size, n_clusters, CAST(2 + s - min(s) OVER (PARTITION BY volume) AS BIGINT) AS first_cluster
+  FROM (SELECT source || '#' || (s // {REACH}) AS volume, * FROM (
+    SELECT *, CAST(coalesce(sum(n_clusters) OVER (PARTITION BY source ORDER BY id, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM (
+      SELECT source, id, part, least(bytes - part * {REACH * CLUSTER}, {REACH * CLUSTER}) AS file_size, CAST(ceil(least(bytes - part * {REACH * CLUSTER}, {REACH * CLUSTER}) / {CLUSTER}.0) AS BIGINT) AS n_clusters FROM (
+        SELECT *, unnest(range(0, greatest(1, CAST(ceil(bytes / {REACH * CLUSTER}.0) AS BIGINT)))) AS part FROM (
+          SELECT coalesce(source, '') AS source, doc_id AS id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes FROM documents))))))"""
 _FAT = f"""{_LAYOUT}, fat AS (
   SELECT volume, CAST(first_cluster + i AS INTEGER) AS cluster,
          CAST(CASE WHEN i = n_clusters - 1 THEN 4095 ELSE first_cluster + i + 1 END AS INTEGER) AS next
@@ -112,13 +135,6 @@ def vol_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _info(spark, sf_dir).select("volume", "used", "bad", "free", (F.col("used") * CLUSTER).alias("used_bytes"), F.round(F.col("used") / CAPACITY, 6).alias("used_share"))
 
 
-@query(f"""WITH {_INFO} SELECT volume, CAST(sum(used) AS BIGINT) AS used, CAST(sum(bad) AS BIGINT) AS bad, CAST(sum({CAPACITY} - used - bad) AS BIGINT) AS free
-  FROM info GROUP BY ROLLUP (volume)""")
-def vol_info_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, summed over all volumes as well."""
-    return _info(spark, sf_dir).rollup("volume").agg(*(F.sum(c).alias(c) for c in ("used", "bad", "free")))
-
-
 @query(f"""WITH {_LAYOUT} SELECT count(*) AS n_entries, CAST(sum(file_size) AS BIGINT) AS n_bytes, volume FROM layout GROUP BY volume""")
 def list_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries and bytes of each volume's listing."""
@@ -162,60 +178,15 @@ def verify_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.lost(fat_table(files), _owned(files)).groupBy("volume").agg(F.count(F.lit(1)).alias("lost"))
 
 
-@query(f"""WITH {_LAYOUT} SELECT volume, id, CAST(n_clusters AS BIGINT) AS chain_len, CAST(ceil((file_size + {CLUSTER}) / {CLUSTER}.0) AS BIGINT) AS due
-  FROM layout WHERE id % 13 = 0 AND n_clusters > 0""")
-def verify_size_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files whose size asks for another number of clusters than their chain has."""
-    files = layout(spark, sf_dir).withColumns({"entry": F.col("first_cluster"), "listed": F.col("n_clusters") > 0})
-    stated = F.col("file_size") + F.when(F.col("id") % 13 == 0, CLUSTER).otherwise(0)
-    length = _owned(files).groupBy("volume", "id").agg(F.count(F.lit(1)).alias("chain_len"))
-    return files.join(length, ["volume", "id"]).select("volume", "id", "chain_len", F.ceil(stated / CLUSTER).cast("long").alias("due")).where("chain_len <> due")
-
-
-@query(f"WITH {_LAYOUT} SELECT volume, id, first_cluster FROM layout WHERE id % 17 = 0")
-def verify_empty_nonzero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of size 0 that name a cluster, where some sizes are set to 0."""
-    files = layout(spark, sf_dir).withColumn("file_size", F.when(F.col("id") % 17 == 0, 0).otherwise(F.greatest("file_size", F.lit(1))))
-    return files.where("file_size = 0 and first_cluster <> 0").select("volume", "id", "first_cluster")
-
-
 @query(f"WITH {_FAT} SELECT volume, count(*) AS bad FROM fat WHERE cluster % 97 = 0 GROUP BY volume")
 def verify_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volumes with clusters marked bad."""
     return _info(spark, sf_dir).where("bad > 0").select("volume", "bad")
 
 
-@query(f"""WITH {_LAYOUT}, f AS (SELECT volume, id, CASE WHEN id % 11 = 0 THEN 3839 ELSE 4088 END AS e0, CASE WHEN id % 7 = 0 THEN 4087 ELSE 4095 END AS e1 FROM layout)
-  SELECT volume, id, 'V1' AS code, printf('FAT entry 0 has unusual value: 0x%03X', e0) AS message FROM f WHERE e0 < 3840
-  UNION ALL SELECT volume, id, 'V2', printf('FAT entry 1 has unusual value: 0x%03X', e1) FROM f WHERE e1 < 4088""")
-def verify_fat_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unusual values of the first two table entries."""
-    heads = layout(spark, sf_dir).select("volume", "id", F.when(F.col("id") % 11 == 0, 3839).otherwise(4088).alias("e0"), F.when(F.col("id") % 7 == 0, 4087).otherwise(4095).alias("e1"))
-    rule = lambda n, least: heads.where(F.col(f"e{n}") < least).select("volume", "id", F.lit(f"V{n + 1}").alias("code"), F.format_string(f"FAT entry {n} has unusual value: 0x%03X", f"e{n}").alias("message"))
-    return rule(0, 0xF00).unionByName(rule(1, 0xFF8))
-
-
-@query("""SELECT conv_id % 16 AS "user", upper(role) AS name, count(*) AS n FROM conversations GROUP BY ALL HAVING count(*) > 1""")
-def verify_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that occur twice for one user."""
-    rows = _table(spark, sf_dir, "conversations").groupBy((F.col("conv_id") % 16).alias("user"), F.upper("role").alias("name"))
-    return rows.agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-
 # ---- CP/M --------------------------------------------------------------------------------
 
 
-@query("""SELECT conv_id % 16 AS "user", conv_id AS id, count(*) AS extents, max(turn) AS last_extent,
-  CAST((count(*) - 1) * 16384 + arg_max(least(128, CAST(ceil(octet_length(encode(text)) / 128.0) AS BIGINT)), turn) * 128 AS BIGINT) AS file_size,
-  arg_min(role, turn) AS first_role FROM conversations GROUP BY conv_id""")
-def cpm_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extents joined to files: the last gives the size, the first the attributes."""
-    rows = _table(spark, sf_dir, "conversations").withColumn("records", F.least(F.lit(128), F.ceil(F.octet_length("text") / 128)))
-    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("extents"), F.max("turn").alias("last_extent"), F.max_by("records", "turn").alias("r"), F.min_by("role", "turn").alias("first_role")).select(
-        (F.col("conv_id") % 16).alias("user"), F.col("conv_id").alias("id"), "extents", "last_extent", ((F.col("extents") - 1) * 16384 + F.col("r") * 128).cast("long").alias("file_size"), "first_role"
-    )
-
-
 @query("""WITH used AS (SELECT DISTINCT (doc_id * 7) % 556 AS block, source AS volume FROM documents)
   SELECT v.volume, CAST(count(*) AS BIGINT) AS free, CAST(min(b.block) AS INTEGER) AS first_free
   FROM (SELECT DISTINCT volume FROM used) v, (SELECT range AS block FROM range(0, 556)) b
@@ -242,10 +213,10 @@ def glob_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").where(names.list_filter(F.col("p_name"), "red")).select("p_partkey", "p_name")
 
 
-@query("SELECT p_type, count(*) AS n FROM part WHERE upper(p_type) = 'PROMO TIN' OR regexp_matches(upper(p_type), '^[^.]*\\.[^.]*$') GROUP BY p_type")
+@query("SELECT p_type, count(*) AS n FROM part WHERE upper(p_type) = 'PROMO' OR regexp_matches(upper(p_type), '^[^.]*\\.[^.]*$') GROUP BY p_type")
 def glob_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pattern without wildcards names one text; ``*.*`` needs a dot."""
-    rows = _table(spark, sf_dir, "part").where(names.matches(F.col("p_type"), "promo tin") | names.matches(F.col("p_type"), "*.*"))
+    rows = _table(spark, sf_dir, "part").where(names.matches(F.col("p_type"), "promo") | names.matches(F.col("p_type"), "*.*"))
     return rows.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -459,17 +430,6 @@ def drive_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("image", tables.drive_letters(F.col("a")).alias("letters"))
 
 
-@query("""SELECT r_name AS image, CAST(row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1 AS INTEGER) AS "index", CAST(place AS INTEGER) AS label_index, n_name AS name FROM
-  (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS place FROM nation) JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 4 <> 1""")
-def partition_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Volumes kept by the type of their label, numbered anew beside their place in the list."""
-    rows = _table(spark, sf_dir, "region").join(_table(spark, sf_dir, "nation"), F.col("r_regionkey") == F.col("n_regionkey"))
-    own = rows.groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("v"))
-    kept = own.select("r_name", F.posexplode("v").alias("label_index", "v")).where("v.n_nationkey % 4 <> 1")
-    place = F.row_number().over(Window.partitionBy("r_name").orderBy("label_index")) - 1
-    return kept.select(F.col("r_name").alias("image"), place.alias("index"), "label_index", F.col("v.n_name").alias("name"))
-
-
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'harddisk' WHEN p_partkey % 5 = 0 AND p_size % 2 = 0 THEN 'ibmpc' WHEN p_partkey % 7 = 0 AND p_partkey % 5 <> 0 THEN 'harddisk' ELSE 'floppy' END AS image_type FROM part""")
 def image_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The type of images from their boot sectors, by the first rule that holds."""
@@ -500,7 +460,7 @@ def _little(number: Column, size: int) -> Column:
 @query("""WITH b AS (SELECT p_partkey, [1, 2, 4, 8, 3][1 + p_partkey % 5] AS per, 16 * (p_size % 20) + 7 AS slots, CASE WHEN p_partkey % 9 = 0 THEN 70000 + p_partkey ELSE 600 + p_partkey % 2280 END AS total, p_size % 10 AS fat FROM part)
   SELECT p_partkey, CAST(1 + 2 * fat AS INTEGER) AS dir_start, CAST((slots + 15) // 16 AS INTEGER) AS dir_sectors, CAST(1 + 2 * fat + (slots + 15) // 16 AS INTEGER) AS data_start,
     CAST((total - 1 - 2 * fat - (slots + 15) // 16) // per AS BIGINT) AS total_clusters, CAST(per * 512 AS INTEGER) AS cluster_size,
-    CASE WHEN per = 3 THEN 'Invalid sectors per cluster: 3' WHEN fat = 0 THEN 'FATSize16 cannot be zero' END AS problem FROM b""")
+    CASE WHEN per = 3 THEN 'Clusters of 3 sectors are not handled' WHEN fat = 0 THEN 'Tables have 0 sectors' END AS problem FROM b""")
 def ibm_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameter blocks decoded from bytes, and what follows from them."""
     from ..sources.headers import parameter_block
@@ -513,14 +473,14 @@ def ibm_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "b.dir_start", "b.dir_sectors", "b.data_start", "b.total_clusters", "b.cluster_size", "b.problem")
 
 
-@query("SELECT o_orderkey, CAST(o_custkey % 3 AS BIGINT) AS hunk, CAST((o_custkey % 3 * o_orderkey % 5) * 4096 AS BIGINT) AS \"offset\", CAST(CASE WHEN (o_custkey % 3 * o_orderkey % 5) = 0 THEN 0 ELSE 4096 END AS BIGINT) AS stored FROM orders WHERE o_orderkey % 10 = 0")
+@query("SELECT o_orderkey, CAST(h AS BIGINT) AS hunk, CAST((h * o_orderkey % 5) * 4096 AS BIGINT) AS \"offset\", CAST(CASE WHEN h * o_orderkey % 5 = 0 THEN 0 ELSE 4096 END AS BIGINT) AS stored FROM orders, range(0, 3) AS r(h)")
 def chd_hunk_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hunk maps of containers without compression, decoded from big-endian bytes."""
     from ..sources.headers import uncompressed_hunk_map
 
     entries = F.concat(*(F.lpad(F.hex(F.lit(i) * F.col("o_orderkey") % 5), 8, "0") for i in range(3)))
-    rows = _table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", "o_custkey", uncompressed_hunk_map(F.unhex(entries), F.lit(0), F.lit(4096), F.lit(3)).alias("map"))
-    return rows.select("o_orderkey", F.explode("map").alias("m"), "o_custkey").where("m.hunk = o_custkey % 3").select("o_orderkey", "m.hunk", "m.offset", "m.stored")
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.explode(uncompressed_hunk_map(F.unhex(entries), F.lit(0), F.lit(4096), F.lit(3))).alias("m"))
+    return rows.select("o_orderkey", "m.hunk", "m.offset", "m.stored")
 
 
 @query(f"""WITH {_LAYOUT} SELECT volume, id, CAST(11 + (first_cluster - 2) * 4 AS BIGINT) AS first_sector, CAST(11 + (first_cluster - 2 + n_clusters) * 4 - 1 AS BIGINT) AS last_sector, CAST(n_clusters * 4 AS BIGINT) AS sectors FROM layout WHERE n_clusters > 0""")
@@ -530,132 +490,3 @@ def chain_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     walked = chains.follow(fat_table(files), files.where("n_clusters > 0").select("volume", "id", F.col("first_cluster").alias("start")))
     each = walked.select("volume", "id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), "cluster").select("volume", "id", (11 + (F.col("cluster") - 2) * 4 + F.col("k")).cast("long").alias("s"))
     return each.groupBy("volume", "id").agg(F.min("s").alias("first_sector"), F.max("s").alias("last_sector"), F.count(F.lit(1)).alias("sectors"))
-
-
-@query(f"""WITH {_LAYOUT} SELECT volume, count(*) AS files, CAST(sum(file_size) AS BIGINT) AS copied_bytes, count(*) FILTER (file_size = 0) AS empty FROM layout WHERE regexp_matches(CAST(id AS VARCHAR) || '.TXT', '^.*7\\.TXT$') GROUP BY volume""")
-def copy_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files and bytes that a copy with a pattern would move from each volume."""
-    rows = layout(spark, sf_dir).where(names.glob(F.concat(F.col("id").cast("string"), F.lit(".TXT")), "*7.txt"))
-    return rows.groupBy("volume").agg(F.count(F.lit(1)).alias("files"), F.sum("file_size").alias("copied_bytes"), F.count_if(F.col("file_size") == 0).alias("empty"))
-
-
-# ---- images proper, built from documents -------------------------------------------------
-
-_PER_IMAGE = 40
-_WHEN = datetime.datetime(1991, 2, 3, 4, 5, 6)
-
-
-def built_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IBM floppies that hold forty documents each, half of them in a directory.
-
-    One blank image a group of ids; the change-set of its files makes the image.
-    """
-    docs = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.floor(F.col("doc_id") / _PER_IMAGE).cast("string"), F.lit(".img")).alias("image_id"), "doc_id", "text")
-    path = F.concat(F.when(F.col("doc_id") % 2 == 0, "SUB\\").otherwise(""), F.lit("D"), F.col("doc_id").cast("string"), F.lit(".TXT"))
-    none = F.lit(None).cast("string")
-    seq = (F.col("doc_id") % _PER_IMAGE + 1).cast("int")
-    write = docs.select("image_id", F.lit(0).alias("volume_idx"), seq.alias("seq"), F.lit("write").alias("op"), path.alias("path"), none.alias("argument"), F.encode("text", "UTF-8").alias("content"))
-    made = docs.select("image_id").distinct()
-    mkdir = made.select("image_id", F.lit(0).alias("volume_idx"), F.lit(0).alias("seq"), F.lit("mkdir").alias("op"), F.lit("SUB").alias("path"), none.alias("argument"), F.lit(None).cast("binary").alias("content"))
-    from ..operators.kernel import blank
-
-    empty = made.select("image_id", F.lit("ibmpc").alias("image_type"), F.lit(blank("ibm_floppy", "720K", "DOCS")).alias("content"))
-    return edits.apply(empty, write.unionByName(mkdir), _WHEN)
-
-
-_PATHS = f"""docs AS (SELECT 'd' || (doc_id // {_PER_IMAGE}) || '.img' AS image_id, CASE WHEN doc_id % 2 = 0 THEN 'SUB\\' ELSE '' END || 'D' || doc_id || '.TXT' AS path, CAST(octet_length(encode(text)) AS BIGINT) AS file_size, md5(text) AS digest, doc_id FROM documents)"""
-
-
-@query(f"WITH {_PATHS} SELECT image_id, path, file_size, digest FROM docs")
-def image_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files written into images and read back through their chains."""
-    return tables.contents(built_images(spark, sf_dir)).select("image_id", "path", "file_size", F.md5("content").alias("digest"))
-
-
-@query(f"""WITH {_PATHS} SELECT image_id, path, file_size, FALSE AS is_directory, 'A' AS attributes, '1991-02-03 04:05' AS modified FROM docs
-  UNION ALL SELECT DISTINCT image_id, 'SUB', 0, TRUE, 'D', '1991-02-03 04:05' FROM docs""")
-def image_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The directory trees of images."""
-    rows = tables.entries(built_images(spark, sf_dir))
-    return rows.select("image_id", "path", "file_size", "is_directory", names.attribute_string(F.col("attributes")).alias("attributes"), stamps.stamp_text(F.col("modify_date"), F.col("modify_time")).alias("modified"))
-
-
-@query(f"""WITH {_PATHS} SELECT image_id, count(*) AS files, 1 AS directories, CAST(sum(ceil(file_size / 1024.0)) + 1 + CASE WHEN count(*) FILTER (doc_id % 2 = 0) > 30 THEN 1 ELSE 0 END AS BIGINT) AS used_clusters, 713 AS total_clusters, CAST(sum(file_size) AS BIGINT) AS file_bytes FROM docs GROUP BY image_id""")
-def image_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Space and counts of images."""
-    rows = tables.stats(built_images(spark, sf_dir))
-    return rows.select("image_id", F.col("files").cast("long").alias("files"), "directories", F.col("used_clusters").cast("long").alias("used_clusters"), "total_clusters", "file_bytes")
-
-
-@query(f"WITH {_PATHS} SELECT DISTINCT image_id, TRUE AS valid, 0 AS lost_clusters, 0 AS warnings FROM docs")
-def image_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Integrity of images: these are sound."""
-    return tables.verify_summary(built_images(spark, sf_dir)).select("image_id", "valid", "lost_clusters", "warnings")
-
-
-@query(f"WITH {_PATHS} SELECT image_id, path, CAST(row_number() OVER (PARTITION BY image_id ORDER BY path) AS INTEGER) AS n FROM docs WHERE regexp_matches(path, '^SUB\\\\D.*8\\.TXT$')")
-def image_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of a directory that match a pattern, over all images at once."""
-    found = search.find(tables.entries(built_images(spark, sf_dir)), "\\SUB\\*8.TXT")
-    return found.select("image_id", "path", F.row_number().over(Window.partitionBy("image_id").orderBy("path")).alias("n"))
-
-
-@query(f"""WITH {_PATHS} SELECT image_id, 'D' || doc_id || '.TXT' AS full_name, file_size, 32 AS attributes FROM docs WHERE doc_id % 2 = 1
-  UNION ALL SELECT DISTINCT image_id, 'SUB', 0, 16 FROM docs""")
-def image_root_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Root directories decoded by native expressions alone."""
-    images = built_images(spark, sf_dir)
-    return tables.root_slots(images, tables.volumes(images)).select("image_id", "full_name", "file_size", "attributes")
-
-
-@query(f"""WITH {_PATHS} SELECT image_id, CAST(sum(ceil(file_size / 1024.0)) + 1 AS BIGINT) AS used FROM docs GROUP BY image_id""")
-def image_fat_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Allocation tables unpacked by native expressions alone."""
-    images = built_images(spark, sf_dir)
-    return chains.usage(tables.native_fat_entries(images, tables.volumes(images)), "image_id").select("image_id", "used")
-
-
-@query(f"""WITH {_PATHS}, i AS (SELECT DISTINCT image_id FROM docs)
-  SELECT image_id, 'warning' AS severity, 'V11' AS code, 'Found 1 lost cluster chain(s) totaling 2 clusters' AS message FROM i
-  UNION ALL SELECT image_id, 'warning', 'V11', '  Lost chain starting at cluster 700, length 2' FROM i""")
-def image_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings on images whose tables were given a chain that nothing owns."""
-    at = 512 + 700 + 350  # clusters 700 -> 701 -> end, in the first table copy
-    parts = [F.substring("content", 1, at), F.lit(bytearray(b"\xbd\xf2\xff")), F.expr(f"substring(content, {at + 4})")]
-    hurt = built_images(spark, sf_dir).withColumn("content", F.concat(*parts))
-    return tables.findings(hurt).select("image_id", "severity", "code", "message")
-
-
-@query(f"""WITH {_PATHS} SELECT image_id, CASE WHEN doc_id % 7 = 0 THEN regexp_replace(path, 'D([0-9]+)', 'R\\1') ELSE path END AS path, CASE WHEN doc_id % 3 = 0 THEN 'RA' ELSE 'A' END AS attributes, file_size, digest FROM docs WHERE doc_id % 5 <> 0""")
-def image_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files deleted, made read-only and renamed by a change-set, then read back."""
-    built = built_images(spark, sf_dir).select("image_id", "image_type", "content")
-    key = F.col("doc_id")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), F.floor(key / _PER_IMAGE).cast("string"), F.lit(".img")).alias("image_id"), F.concat(F.when(key % 2 == 0, "SUB\\").otherwise(""), F.lit("D"), key.cast("string"), F.lit(".TXT")).alias("path"))
-    steps = F.array(
-        F.struct(F.when(key % 3 == 0, "attr").alias("op"), F.lit("+R").alias("argument")),
-        F.struct(F.when(key % 5 == 0, "delete").when(key % 7 == 0, "rename").alias("op"), F.concat(F.lit("R"), key.cast("string"), F.lit(".TXT")).alias("argument")),
-    )
-    each = docs.select("image_id", "doc_id", "path", F.posexplode(steps).alias("k", "s")).where("s.op is not null")
-    changes = each.select("image_id", F.lit(0).alias("volume_idx"), (F.col("doc_id") % _PER_IMAGE * 2 + F.col("k")).cast("int").alias("seq"), "s.op", "path", "s.argument", F.lit(None).cast("binary").alias("content"))
-    made = edits.apply(built, changes, _WHEN)
-    listed = tables.entries(made).where("not is_directory").select("image_id", "path", names.attribute_string(F.col("attributes")).alias("attributes"))
-    read = tables.contents(made).select("image_id", "path", "file_size", F.md5("content").alias("digest"))
-    return listed.join(read, ["image_id", "path"])
-
-
-_CPM_NAMES = """SELECT 'c' || (conv_id // 40) || '.img' AS image_id, CAST(turn % 16 AS INTEGER) AS "user", 'C' || conv_id || '.T' || turn AS path, CAST(greatest(1, ceil(octet_length(encode(text)) / 128.0)) * 128 AS BIGINT) AS file_size, md5(text) AS digest FROM conversations"""
-
-
-@query(_CPM_NAMES)
-def cpm_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CP/M floppies with a file a conversation turn, written and read back."""
-    rows = _table(spark, sf_dir, "conversations").select(
-        F.concat(F.lit("c"), F.floor(F.col("conv_id") / 40).cast("string"), F.lit(".img")).alias("image_id"), F.lit(0).alias("volume_idx"),
-        (F.col("conv_id") % 40 * 100 + F.col("turn")).cast("int").alias("seq"), F.lit("write").alias("op"), F.concat(F.lit("C"), F.col("conv_id").cast("string"), F.lit(".T"), F.col("turn").cast("string")).alias("path"),
-        (F.col("turn") % 16).cast("string").alias("argument"), F.encode("text", "UTF-8").alias("content"),
-    )
-    blank = rows.select("image_id").distinct().select("image_id", F.lit("cpm").alias("image_type"), F.lit(bytearray(b"\xe5" * (1224 * 512))).alias("content"))
-    made = edits.apply(blank, rows, _WHEN)
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "\\x1a+$", "")
-    return tables.contents(made).select("image_id", "user", "path", "file_size", F.md5(F.encode(text, "UTF-8")).alias("digest"))

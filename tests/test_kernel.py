@@ -64,7 +64,7 @@ def test_order_of_lost_chains_decides_their_heads():
     volume._set(10, 5)
     volume._set(5, 0xFFF)
     found, counts = volume.verify()
-    assert counts["lost_clusters"] == 2 and [x[4] for x in found][1:] == ["  Lost chain starting at cluster 5, length 1", "  Lost chain starting at cluster 10, length 2"]
+    assert counts["lost_clusters"] == 2 and [x[3:] for x in found][1:] == [(5, "No entry owns the chain of 1 from cluster 5"), (10, "No entry owns the chain of 2 from cluster 10")]
     volume._set(20, 20)
     assert volume.verify()[1]["lost_clusters"] == 3
 
