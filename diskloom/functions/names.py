@@ -155,3 +155,9 @@ def path_spec(spec: Column) -> Column:
         .when(~rest.startswith(":"), F.struct(image.alias("image"), none.cast("int").alias("partition"), none.cast("string").alias("path")))
         .otherwise(F.struct(image.alias("image"), F.when(digits != "", digits.try_cast("int")).alias("partition"), F.when(path != "", path).alias("path")))
     )
+
+
+def image_reference(spec: Column) -> Column:
+    """``struct(image, partition)`` of an image path that may end in a colon and digits."""
+    digits = F.regexp_extract(spec, r"(?s)^.+:(\d+)$", 1)
+    return F.struct(F.when(digits != "", F.left(spec, F.char_length(spec) - F.char_length(digits) - 1)).otherwise(spec).alias("image"), F.when(digits != "", digits.try_cast("int")).alias("partition"))

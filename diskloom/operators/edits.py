@@ -67,18 +67,22 @@ def apply(images: DataFrame, edits: DataFrame, now: datetime.datetime | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                data, done = bytearray(row["content"] or b""), []
+                data, done, found = bytearray(row["content"] or b""), [], None
                 for edit in row["edits"]:
-                    before, error = bytes(data), None
+                    error = None
+                    before = bytes(data) if edit["op"] == "rmdir" else None  # the one step that can fail half done
                     try:
-                        found = kernel.volumes(data, row["image_type"])
+                        # Opened once; again only after a step that failed, as the others check before
+                        # they change a byte, but what they were about to link is not kept.
+                        found = found or kernel.volumes(data, row["image_type"])
                         index = edit["volume_idx"] or 0
                         if not 0 <= index < len(found):
-                            raise Problem("invalid_partition", f"Invalid partition index: {index}")
+                            raise Problem("invalid_partition", f"No partition {index}")
                         one(found[index], edit | {"content": edit["data"]}, date, time)
                     except Problem as problem:
-                        error = problem
-                        data[:] = before
+                        error, found = problem, None
+                        if before is not None:
+                            data[:] = before
                     done.append({"seq": edit["seq"], "op": edit["op"], "path": edit["path"], "error_code": getattr(error, "code", None), "error_message": str(error) if error else None})
                 yield pa.RecordBatch.from_pylist([{"image_id": row["image_id"], "image_type": row["image_type"], "content": bytes(data), "results": done}], schema=_ARROW)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions import names, stamps
+from ..functions import display, names, stamps
 from .kernel import parts_of
 
 
@@ -71,6 +71,28 @@ def totals(entries: DataFrame) -> DataFrame:
     )
 
 
+def selection(entries: DataFrame, chosen: DataFrame) -> DataFrame:
+    """What a selection in a listing amounts to: ``n_selected, n_bytes, n_entries, summary`` of every volume.
+
+    ``chosen`` has ``image_id, volume_idx, path``; directories count with their stored size.
+    """
+    rows = entries.where("full_name is not null").select("image_id", "volume_idx", F.upper("path").alias("key"), "file_size")
+    keys = chosen.select("image_id", "volume_idx", F.array_join(names.path_parts(F.col("path")), "\\").alias("key"), F.lit(True).alias("picked")).distinct()
+    sums = rows.join(keys, ["image_id", "volume_idx", "key"], "left").groupBy("image_id", "volume_idx").agg(
+        F.count_if("picked").alias("n_selected"), F.coalesce(F.sum(F.when(F.col("picked"), F.col("file_size"))), F.lit(0)).cast("long").alias("n_bytes"), F.count(F.lit(1)).alias("n_entries")
+    )
+    size = F.when(F.col("n_bytes") > 0, F.concat(F.lit(" ("), display.size_text(F.col("n_bytes"), "status"), F.lit(")"))).otherwise("")
+    picked = F.when(F.col("n_selected") > 0, F.concat(F.col("n_selected").cast("string"), F.lit(" selected"), size, F.lit(" | "))).otherwise("")
+    return sums.withColumn("summary", F.concat(picked, F.col("n_entries").cast("string"), F.lit(" items")))
+
+
+def lookup(entries: DataFrame, paths: DataFrame) -> DataFrame:
+    """:func:`resolve` for one entry each, where the root, which has no entry, is a directory without a name."""
+    found = resolve(entries, paths)
+    root = F.size(names.path_parts(F.col("asked"))) == 0
+    return found.withColumns({"is_directory": F.when(root, True).otherwise(F.col("is_directory")), "full_name": F.when(root, "").otherwise(F.col("full_name")), "path": F.when(root, "").otherwise(F.col("path"))})
+
+
 def first_rows(rows: DataFrame, most: int, by: list[str], order: list[str]) -> DataFrame:
     """The first ``most`` rows of each group, with the number of rows left out as ``more``."""
     window = Window.partitionBy(*by)

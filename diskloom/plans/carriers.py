@@ -348,6 +348,18 @@ def device_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "nation").select("n_nationkey", display.device_unit(F.when(key * 21 % 2 == 0, key % 26 + 0xFF00).otherwise(key)).alias("unit"), display.volume_letter(key).alias("volume"))
 
 
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'a:b.img' ELSE 'C:\\x.img' END AS image, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS INTEGER) END AS "partition", p_partkey % 3 = 0 AS wild, format('{:,}', p_partkey * 1234567) AS number,
+  CASE p_partkey % 5 WHEN 0 THEN 'Victor 9000 Floppy' WHEN 1 THEN 'IBM PC Floppy' WHEN 2 THEN 'Victor 9000 Hard Disk' WHEN 3 THEN 'Victor 9000 CP/M' ELSE 'Unknown' END AS kind FROM (SELECT *, CASE WHEN p_partkey % 4 = 0 THEN 1 END AS x FROM part)""".replace("\\\\", "\\"))
+def small_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image references with a partition, wildcards, thousands, and names of image types."""
+    key = F.col("p_partkey")
+    spec = F.concat(F.when(key % 4 == 0, "a:b.img").otherwise("C:\\x.img"), F.when(key % 2 == 0, F.concat(F.lit(":"), F.col("p_size").cast("string"))).otherwise(""))
+    found = names.image_reference(spec)
+    kind = F.element_at(F.array(*(F.lit(x) for x in ("floppy", "ibmpc", "harddisk", "cpm", "tape"))), (key % 5 + 1).cast("int"))
+    wild = names.has_wildcards(F.when(key % 3 == 0, F.when(key % 2 == 0, "A*.TXT").otherwise("A?.TXT")).otherwise("A.TXT"))
+    return _table(spark, sf_dir, "part").select("p_partkey", found["image"].alias("image"), found["partition"].alias("partition"), wild.alias("wild"), display.thousands(key * 1234567).alias("number"), display.type_label(kind).alias("kind"))
+
+
 # ---- trees -------------------------------------------------------------------------------
 
 _NODES = r"""parts AS (SELECT page_id, list_filter(string_split_regex(upper(url), '[\\/]'), lambda x: x <> '') AS p FROM pages),
@@ -430,7 +442,7 @@ def drive_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("image", tables.drive_letters(F.col("a")).alias("letters"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'harddisk' WHEN p_partkey % 5 = 0 AND p_size % 2 = 0 THEN 'ibmpc' WHEN p_partkey % 7 = 0 AND p_partkey % 5 <> 0 THEN 'harddisk' ELSE 'floppy' END AS image_type FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 OR p_partkey % 23 = 0 THEN 'harddisk' WHEN p_partkey % 19 = 0 THEN 'floppy' WHEN p_partkey % 17 = 0 THEN 'cpm' WHEN p_partkey % 5 = 0 AND p_size % 2 = 0 THEN 'ibmpc' WHEN p_partkey % 7 = 0 AND p_partkey % 5 <> 0 THEN 'harddisk' ELSE 'floppy' END AS image_type FROM part""")
 def image_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The type of images from their boot sectors, by the first rule that holds."""
     from ..sources.images import image_type
@@ -445,10 +457,11 @@ def image_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = bytearray(b"\x11" * 512)
     chd = bytearray(b"MComprHD") + bytearray(504)
     content = (
-        F.when(key % 11 == 0, F.lit(chd)).when((key % 5 == 0) & (F.col("p_size") % 2 == 0), F.lit(even)).when(key % 5 == 0, F.lit(odd)).when(key % 7 == 0, F.lit(label)).otherwise(F.lit(plain))
+        F.when(key % 11 == 0, F.lit(chd)).when(key % 23 == 0, F.lit(plain)).when(key % 19 == 0, F.lit(even[:100])).when(key % 17 == 0, F.lit(bytearray(b"\xe5" * (77 * 512)))).when((key % 5 == 0) & (F.col("p_size") % 2 == 0), F.lit(even)).when(key % 5 == 0, F.lit(odd)).when(key % 7 == 0, F.lit(label)).otherwise(F.lit(plain))
     )
     rows = _table(spark, sf_dir, "part").select("p_partkey", content.alias("content"))
-    return rows.select("p_partkey", image_type(F.col("content"), F.octet_length("content")).alias("image_type"))
+    length = F.when((key % 23 == 0) & (key % 11 != 0), 3 << 20).otherwise(F.octet_length("content"))
+    return rows.select("p_partkey", image_type(F.col("content"), length).alias("image_type"))
 
 
 def _little(number: Column, size: int) -> Column:

@@ -144,6 +144,27 @@ def image_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by("size", False).unionByName(by("name", True))
 
 
+@query(f"""WITH {_PATHS}, e AS (SELECT image_id, path, file_size, doc_id % 3 = 0 AS picked FROM docs UNION ALL SELECT DISTINCT image_id, 'SUB', 0, TRUE FROM docs)
+  SELECT image_id, count(*) FILTER (picked) AS n_selected, CAST(sum(file_size) FILTER (picked) AS BIGINT) AS n_bytes, count(*) AS n_entries FROM e GROUP BY image_id""")
+def image_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and bytes of files selected in listings, a directory among them."""
+    chosen = _files(spark, sf_dir).where("id % 3 = 0").select("image_id", F.lit(0).alias("volume_idx"), "path")
+    chosen = chosen.unionByName(_files(spark, sf_dir).select("image_id", F.lit(0).alias("volume_idx"), F.lit("\\sub").alias("path")).distinct())
+    return search.selection(tables.entries(built_images(spark, sf_dir)), chosen).select("image_id", "n_selected", "n_bytes", "n_entries")
+
+
+@query(f"""WITH {_PATHS}, i AS (SELECT DISTINCT image_id FROM docs)
+  SELECT image_id, 'sub' AS asked, 'SUB' AS full_name, TRUE AS is_directory FROM i UNION ALL SELECT image_id, '\\', '', TRUE FROM i UNION ALL SELECT image_id, 'none.txt', NULL, NULL FROM i
+  UNION ALL SELECT image_id, 'asked', name, FALSE FROM docs WHERE nth = 2""")
+def image_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single entries looked up: a directory, the root, a file, and one that is not there."""
+    docs = _files(spark, sf_dir)
+    fixed = docs.select("image_id").distinct().select("image_id", F.explode(F.array(F.lit("sub"), F.lit("\\"), F.lit("none.txt"))).alias("path"))
+    asked = fixed.unionByName(docs.where("nth = 2").select("image_id", "path")).select("image_id", F.lit(0).alias("volume_idx"), "path")
+    found = search.lookup(tables.entries(built_images(spark, sf_dir)), asked)
+    return found.select("image_id", F.when(F.col("asked").contains(".TXT"), "asked").otherwise(F.col("asked")).alias("asked"), "full_name", "is_directory")
+
+
 @query(f"""WITH {_PATHS} SELECT image_id, name AS full_name, file_size, 32 AS attributes FROM docs WHERE doc_id % 2 = 1
   UNION ALL SELECT DISTINCT image_id, 'SUB', 0, 16 FROM docs""")
 def image_root_native(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,7 +75,18 @@ def scan(spark: SparkSession, folder: str, patterns: tuple[str, ...] = _PATTERNS
 
 
 def host_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, relative, length, content`` of all files below a host folder, for import (Spark passes over empty ones)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    """``path, relative, length, content`` of all files below a host folder, for import.
+
+    Spark's reader passes over empty files, so their names come from the file system.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "content")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    listed, empty = at.getFileSystem(conf).listFiles(at, True), []
+    while listed.hasNext():
+        status = listed.next()
+        if status.getLen() == 0 and status.getPath().getName()[0] not in "._":  # hidden, as for the reader
+            empty.append((status.getPath().toString(), 0, bytearray()))
     root = folder.rstrip("/").split("/")[-1]
-    return files.select("path", F.regexp_extract("path", rf"/{root}/(.*)$", 1).alias("relative"), "length", "content")
+    whole = files.unionByName(spark.createDataFrame(empty, "path string, length long, content binary")) if empty else files
+    return whole.select("path", F.regexp_extract("path", rf"/{root}/(.*)$", 1).alias("relative"), "length", "content")

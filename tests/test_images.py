@@ -132,7 +132,7 @@ def test_extract_and_import(spark, corpus, tmp_path):
     blank = edits.blank_images(spark, [("blank.img", "ibm_floppy", "720K", None)]).withColumn("image_type", F.lit("ibmpc"))
     mkdir = spark.createDataFrame([("blank.img", 0, 0, "mkdir", "IN", None, None)], changes.schema)
     made = Corpus(edits.apply(blank, changes.unionByName(mkdir)))
-    assert {r["path"] for r in made.entries.where("not is_directory").collect()} == {"IN\\D1\\DEEP.TXT", "IN\\D1\\D2\\DEEP.TXT", "IN\\D1\\D2\\D3\\DEEP.TXT", "IN\\COMMAND.COM", "IN\\MSDOS.SYS", "IN\\CONFIG.SYS"}  # Spark's reader passes over empty files
+    assert {r["path"] for r in made.entries.where("not is_directory").collect()} == {"IN\\D1\\DEEP.TXT", "IN\\D1\\D2\\DEEP.TXT", "IN\\D1\\D2\\D3\\DEEP.TXT", "IN\\COMMAND.COM", "IN\\MSDOS.SYS", "IN\\CONFIG.SYS", "IN\\EMPTY.TXT"}
     assert edits.formats(spark).count() == 6
 
 
@@ -193,3 +193,32 @@ def test_files_are_pasted_between_images(spark, corpus):
     made = Corpus(corpus.edit(changes))
     pasted = {r["path"]: r["file_size"] for r in made.entries.where("parent = 'D1' and not is_directory").collect()}
     assert pasted == {"D1\\DEEP.TXT": 700, "D1\\BIG.DAT": 40064, "D1\\HELLO.CMD": 384, "D1\\NONE.TXT": 128}
+
+
+def test_empty_host_files_are_imported(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "full.txt").write_bytes(b"abc")
+    (tmp_path / "in" / "deep" / "empty.txt").write_bytes(b"")
+    from diskloom.sources.images import host_files
+
+    rows = {r["relative"]: (r["length"], bytes(r["content"])) for r in host_files(spark, str(tmp_path / "in")).collect()}
+    assert rows == {"full.txt": (3, b"abc"), "deep/empty.txt": (0, b"")}
+
+
+def test_a_directory_that_cannot_be_removed_whole_stays_whole(spark):
+    from diskloom.operators import edits, kernel
+
+    data = kernel.blank("ibm_floppy", "720K")
+    volume = kernel.volumes(data, "ibmpc")[0]
+    volume.make_directory(["SUB"], 0, 0)
+    for name in ("A.TXT", "B.TXT"):
+        volume.write_file(["SUB", name], b"x" * 3000, 0, 0)
+    entry = next(e for e in volume.directory(2) if e.full_name == "B.TXT")
+    volume._set(entry.first_cluster + 1, entry.first_cluster)
+    volume.flush()
+    image = spark.createDataFrame([("a", "ibmpc", data)], "image_id string, image_type string, content binary")
+    steps = spark.createDataFrame([("a", 0, 1, "rmdir", "SUB", "recursive", None), ("a", 0, 2, "write", "C.TXT", None, bytearray(b"c"))], "image_id string, volume_idx int, seq int, op string, path string, argument string, content binary")
+    row = edits.apply(image, steps).collect()[0]
+    assert [r["error_code"] for r in row["results"]] == ["corrupted", None]
+    after = kernel.volumes(bytes(row["content"]), "ibmpc")[0]
+    assert [x[0] for x in after.walk()] == ["SUB", "SUB\\A.TXT", "SUB\\B.TXT", "C.TXT"]
