@@ -84,17 +84,26 @@ class Model:
         small = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
         return Model({"E": small(FEATURES, width), "e": np.zeros(width), "V": small(width, gate), "U": small(width, gate), "a": small(gate, 1), "c": small(width, 1), "b": np.zeros(1), "mean": np.zeros(FEATURES), "scale": np.ones(FEATURES)})
 
-    def forward(self, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
-        w, starts = self.w, first[:-1]
+    def passages(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Encoded passages, both halves of their gates, and their attention before it is shared out."""
+        w = self.w
         z = np.tanh((x - w["mean"]) / w["scale"] @ w["E"] + w["e"])
         v, u = np.tanh(z @ w["V"]), 1 / (1 + np.exp(-(z @ w["U"])))
-        s = ((v * u) @ w["a"])[:, 0]
+        return z, v, u, ((v * u) @ w["a"])[:, 0]
+
+    def forward(self, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+        z, v, u, s = self.passages(x)
+        return {"z": z, "v": v, "u": u} | self.bags(z, s, first)
+
+    def bags(self, z: np.ndarray, s: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+        """Weighted sums of encoded passages, and the probabilities of their bags."""
+        w, starts = self.w, first[:-1]
         bag = np.repeat(np.arange(len(starts)), np.diff(first))
         raw = np.exp(s - np.maximum.reduceat(s, starts)[bag])
         alpha = raw / np.add.reduceat(raw, starts)[bag]
         m = np.add.reduceat(alpha[:, None] * z, starts, axis=0)
         p = 1 / (1 + np.exp(-np.clip((m @ w["c"])[:, 0] + w["b"][0], -30, 30)))
-        return {"z": z, "v": v, "u": u, "alpha": alpha, "m": m, "p": p, "bag": bag}
+        return {"alpha": alpha, "m": m, "p": p, "bag": bag}
 
     def gradients(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         w, f = self.w, self.forward(x, first)
@@ -192,7 +201,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+#: Bytes of a text that are encoded at once; words end there.
+_STEP = 2048 * PASSAGE
+
+
 def _score(model: Model, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    sizes = np.diff(off)
+    if len(sizes) and int(sizes.max()) > _STEP:  # encoded in parts, as its passages fit where their features do not
+        many, kept = [], []
+        for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
+            parts = [model.passages(encode(data[lo : min(lo + _STEP, b)], np.array([0, min(lo + _STEP, b) - lo]))[0]) for lo in range(a, max(b, a + 1), _STEP)]
+            kept += [(z, s) for z, _, _, s in parts]
+            many.append(sum(len(x[3]) for x in parts))
+        z, s = (np.concatenate(x) for x in zip(*kept))
+        return np.round(model.bags(z, s, np.concatenate(([0], np.cumsum(many))))["p"], 9)
     # Rounded, as sums over a batch may differ in the last place from batch to batch.
     return np.round(model.forward(*encode(data, off))["p"], 9)
 

@@ -346,6 +346,21 @@ def test_gradients():
         assert (up - down) / 2e-5 == pytest.approx(grad[at], abs=1e-6)
 
 
+def test_long_texts_are_scored_whole(monkeypatch):
+    """Scores in parts are those of the whole where parts end between words; the end of a text counts."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    model = quality.Model.start(rng)
+    line = " ".join(f"word{i % 61}" for i in range(85))
+    texts = ["", (line[:511] + " ") * 9, "short", (line[:511] + " ") * 8 + "@ " * 256]
+    data, off = textops.utf8(pa.array(texts))
+    whole = quality._score(model, data, off)
+    monkeypatch.setattr(quality, "_STEP", 2 * quality.PASSAGE)
+    assert quality._score(model, data, off) == pytest.approx(whole, abs=1e-6)
+    assert whole[1] != whole[3]
+
+
 def test_classifier_on_held_out_rows(spark, none):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
