@@ -466,7 +466,7 @@ def _scores(n_train: int, distinct: int, groups: int, part_tokens: int):
 
 def score(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, sweeps: int = 2, rounds: int = 4, samples: int = 3, apart: int = 1,
-    block_tokens: int = 1 << 20, shard_tokens: int = 1 << 22, part_tokens: int = 1 << 22, discounts: tuple[float, ...] | None = None, strengths: tuple[float, ...] | None = None, seed: int = 11,
+    block_tokens: int = 1 << 20, shard_tokens: int = 1 << 22, part_tokens: int = 1 << 20, discounts: tuple[float, ...] | None = None, strengths: tuple[float, ...] | None = None, seed: int = 11,
 ) -> DataFrame:
     """Log probabilities of every row's whole text, and those of an add-0.1 unigram model.
 
@@ -491,7 +491,7 @@ def score(
     entries, n_train = size["entries"] or 0, size["tokens"] or 0
     # Tasks and groups follow what they hold; a block fills no more messages than it has words.
     parts, shards = max(16, entries >> 20), max(16, -(-n_train // shard_tokens))
-    of_words, groups = max(256, entries >> 18), max(256, shards)
+    of_words, groups = max(256, entries >> 18), max(256, n_train >> 18)
     spelled = blocks.select("block", "spelled").mapInArrow(_spell(of_words), "block long, g int, spelled binary").repartitionById(parts, "g").sortWithinPartitions("g")
     told = spelled.mapInArrow(_places(of_words), "block long, g int, told binary, known long, once long")
     both = blocks.select("block", F.lit(-1).alias("g"), "texts").unionByName(told, allowMissingColumns=True)

@@ -87,7 +87,8 @@ class Model:
     def passages(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Encoded passages, both halves of their gates, and their attention before it is shared out."""
         w = self.w
-        z = np.tanh((x - w["mean"]) / w["scale"] @ w["E"] + w["e"])
+        plain = w["E"] / w["scale"][:, None]  # features are scaled by the weights instead of one by one
+        z = np.tanh(x.astype(np.float64) @ plain + (w["e"] - w["mean"] @ plain))
         v, u = np.tanh(z @ w["V"]), 1 / (1 + np.exp(-(z @ w["U"])))
         return z, v, u, ((v * u) @ w["a"])[:, 0]
 
