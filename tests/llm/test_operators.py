@@ -451,6 +451,27 @@ def test_peaks_find_a_tone():
     assert set((marks & 0xFFFF) >> 9) == {20} and (np.diff(marks >> 16) >= 0).all()
 
 
+def test_features_agree_with_sums_written_out(spark):
+    """Peaks by the Fourier sums themselves, pairs and minimum hashes by plain loops."""
+    texts = ["", "abc", "to and fro " * 70, "".join(chr(33 + (i * i) % 90) for i in range(700))]
+    rows = {r["doc_id"]: r for r in media.describe(media.store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    angle = 2 * np.pi / 192
+    window = [0.5 - 0.5 * math.cos(2 * math.pi * (i + 1) / 193) for i in range(192)]
+    for i, text in enumerate(texts):
+        raw = text.encode()
+        pay = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        peaks = []
+        for at in range(0, len(pay) - 191, 96):
+            frame = np.array([(b - 128) * w for b, w in zip(pay[at : at + 192], window)])
+            power = [abs(sum(frame * np.exp(-1j * angle * k * np.arange(192)))) ** 2 for k in range(1, 97)]
+            steps = [round(math.log2(p + 1) * 64) for p in power]
+            peaks.append(1 + max(range(96), key=lambda k: (steps[k], -k)))
+        marks = sorted(t << 16 | peaks[t] << 9 | peaks[t + d] << 2 | d for d in (1, 2, 3) for t in range(len(peaks) - d))
+        assert rows[i]["landmarks"] == marks
+        low = [min(((m & 0xFFFF) + 1) * k % (1 << 32) for m in marks) if marks else 0xFFFFFFFF for k in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
+        assert rows[i]["feature"] == f"{len(peaks)}:{len(marks)}:" + "".join(f"{x:08x}" for x in low)
+
+
 def test_token_counts_across_blocks(docs, none):
     flat = token_counts.write_flat(docs, VOCABULARY, 50256, block_tokens=64)
     got = token_counts.count_tokens(flat, 50256)
