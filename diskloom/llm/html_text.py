@@ -30,7 +30,7 @@ _FURNITURE = frozenset(("nav", "footer", "aside", "form", "menu", "dialog"))
 _HOLDERS = frozenset("div section nav header footer aside form article main ul ol dl table menu dialog figure blockquote details fieldset".split())
 _LINES = _HOLDERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr pre hr address figcaption caption body head html summary center".split())
 _NAMES = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars menu menus submenu nav navbar navigation breadcrumb "
+    "ad ads adsbygoogle advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars menu menus submenu nav navbar navigation breadcrumb "
     "breadcrumbs foot footer footers comment comments commentlist commentform disqus respond replies reply cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter subscribe "
     "subscription signup login share sharing social related recommended recommendations widget widgets toolbar pagination pager search searchform copyright legal".split()
 )
@@ -55,7 +55,7 @@ def _says(value: str, names: frozenset[str]) -> bool:
     So ``cookie-notice`` and ``comment-list`` do, but ``notice-period`` and ``related-work`` do not.
     """
     for name in value.split():
-        words = [w for w in re.split(r"[-_]+", name) if w and not w.isdigit()]
+        words = [w for w in re.split(r"[-_\d]+", name) if len(w) > 1]
         while words:
             if words[-1] in names:
                 return True

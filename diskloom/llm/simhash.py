@@ -45,15 +45,20 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
                 # The words again, lower-cased, with one space after each.
                 sizes = ends - starts
                 begin = np.cumsum(sizes + 1) - (sizes + 1)
-                line = np.full(int((sizes + 1).sum()), 32, np.uint8)
-                line[textops.ragged(begin, sizes)] = textops.LOWER[data[textops.ragged(starts, sizes)]]
-                text, stop = line.tobytes(), begin + sizes
+                stop = begin + sizes
+                line, ink = np.full(int((sizes + 1).sum()), 32, np.uint8), np.ones(int((sizes + 1).sum()), bool)
+                ink[stop] = False
+                line[ink] = textops.LOWER[data[~textops.SPACE[data]]]  # words are all that is no white space
+                text = line.tobytes()
                 grams = np.where(counts >= shingle, counts - shingle + 1, np.minimum(counts, 1))
                 first = textops.ragged(at[:-1], grams)
                 last = first + np.repeat(np.minimum(counts, shingle), grams) - 1
                 marks = np.zeros(len(counts), np.uint64)
                 edges = np.concatenate(([0], np.cumsum(grams)))
-                hashes = np.fromiter((digest(text[a:b], _SEED) for a, b in zip(begin[first].tolist(), stop[last].tolist())), np.uint64, len(first))
+                hashes = np.empty(len(first), np.uint64)
+                for lo in range(0, len(first), 1 << 18):  # a bounded number of Python numbers at once
+                    a, b = begin[first[lo : lo + (1 << 18)]].tolist(), stop[last[lo : lo + (1 << 18)]].tolist()
+                    hashes[lo : lo + len(a)] = [digest(text[i:j], _SEED) for i, j in zip(a, b)]
                 for lo in range(0, len(counts), 256):  # bits of a few rows at a time
                     hi = min(lo + 256, len(counts))
                     if edges[hi] == edges[lo]:

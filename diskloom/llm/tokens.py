@@ -22,6 +22,8 @@ from .textops import SPACE, binary_array, ragged
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Segments remembered from batch to batch by a worker; beyond it they are encoded anew.
 _REMEMBERED = 200_000
+#: Bytes of a very long text that are encoded at once.
+_MOST = 4 << 20
 
 
 def _byte_letters() -> dict[str, int]:
@@ -64,6 +66,26 @@ class SegmentEncoder:
         return np.concatenate([*parts, ids[done:]]), np.concatenate(([0], np.cumsum(sizes)))
 
     def _plain(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same without special tokens; very long texts are cut where a segment starts."""
+        if len(data) <= 2 * _MOST:
+            return self._few(data, off)
+        ids, counts = [], []
+        for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
+            lo, most, count = a, _MOST, 0
+            while lo < b:
+                hi = min(lo + most, b)
+                if hi < b:
+                    cuts = _cuts(data[lo:hi], np.array([0, hi - lo]))
+                    if cuts[-1] == 0:  # one segment so far
+                        most *= 2
+                        continue
+                    hi = lo + int(cuts[-1])
+                ids.append(self._few(data[lo:hi], np.array([0, hi - lo]))[0])
+                lo, most, count = hi, _MOST, count + len(ids[-1])
+            counts.append(count)
+        return np.concatenate(ids), np.concatenate(([0], np.cumsum(counts)))
+
+    def _few(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         cuts = _cuts(data, off)

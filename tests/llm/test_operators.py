@@ -57,6 +57,16 @@ def test_segments_give_the_library_s_ids():
     assert library_ids(["x<|endoftext|>y"])[0][1] == 50256
 
 
+@pytest.mark.parametrize("special", [False, True])
+def test_very_long_texts_are_encoded_in_parts(monkeypatch, special):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "_MOST", 64)
+    texts = [" ".join(t or "" for t in corpus.texts()[:60]), "", "x" * 500, "<|endoftext|>".join(["a b  c\n\n d"] * 40), " " * 300 + "é" * 200 + "\n" * 90]
+    ids, at = tokens.SegmentEncoder(VOCABULARY, special)(*textops.utf8(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == library_ids(texts, special)
+
+
 def test_pieces_and_packing(docs, none):
     found = packing.pack(packing.token_pieces(docs, VOCABULARY, 256), 256).collect()
     wanted = []
@@ -227,7 +237,7 @@ def test_text_beside_an_article():
 def test_names_are_read_as_whole_words():
     assert html_text.main_text("<article><p class='notice-period'>Body one.</p><p>Two</p></article>") == "Body one.\nTwo"
     assert html_text.main_text("<article><h1>T</h1><section class='related-work'><p>Others.</p></section><section id='search-algorithms'><p>Search.</p></section></article>") == "T\nOthers.\nSearch."
-    for name in ("cookie-notice", "ad", "ad-slot_2", "comment-list", "related-posts", "site-footer", "Sidebar", "nav-menu", "search-form", "x reader-comments"):
+    for name in ("cookie-notice", "ad", "ad-slot_2", "comment-list", "related-posts", "site-footer", "Sidebar", "nav-menu", "search-form", "x reader-comments", "ad2", "ad_300x250-slot", "disqus_thread"):
         assert html_text.main_text(f"<article><p>Body.</p><div class='{name}'><p>Not this.</p></div></article>") == "Body.", name
     body = "<p>" + "word " * 60 + "</p>"
     page = f"<body><p>Intro para one.</p><ul class=menu><li><a href=a>A</a></ul>{body}<ul><li><a href=b>Link</a><li><a href=c>Link</a></ul><p>Closing words.</p></body>"
