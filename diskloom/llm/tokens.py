@@ -45,9 +45,11 @@ class SegmentEncoder:
     """
 
     def __init__(self, path: str, special: bool = False):
-        self._encode = _rank_encoder(path) or _library_encoder(path)
-        self._special = _special_strings(path) if special else []
-        self._whole = _library_encoder(path, True) if self._special else None
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)
+        self._encode = _rank_encoder(vocabulary["model"]) or _library_encoder(path)
+        self._special = [x["content"].encode() for x in vocabulary.get("added_tokens", [])] if special else []
+        self._path, self._whole = path, None  # the library is loaded once a text needs it
         self._seen: dict[bytes, list[int]] = {}
 
     def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,6 +59,7 @@ class SegmentEncoder:
         places = [m for x in self._special for m in _places(raw, x)]
         if not places:
             return ids, at
+        self._whole = self._whole or _library_encoder(self._path, True)
         parts, done = [], 0  # the few texts that hold such a string are encoded whole
         sizes = np.diff(at)
         for row in np.unique(np.searchsorted(off, places, side="right") - 1).tolist():
@@ -134,12 +137,10 @@ def _cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mark)
 
 
-def _rank_encoder(path: str):
+def _rank_encoder(model: dict):
     """The vocabulary as merge ranks, if its ids are the ranks of its merges; else None."""
     import tiktoken
 
-    with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
     letters, vocab = _byte_letters(), model["vocab"]
     for place, pair in enumerate(model["merges"]):
         a, b = pair.split(" ") if isinstance(pair, str) else pair
@@ -157,11 +158,6 @@ def _library_encoder(path: str, special: bool = False):
     return lambda text: own.encode(text, add_special_tokens=False).ids
 
 
-def _special_strings(path: str) -> list[bytes]:
-    with open(path, encoding="utf-8") as file:
-        return [x["content"].encode() for x in json.load(file).get("added_tokens", [])]
-
-
 def _places(raw: bytes, part: bytes) -> Iterator[int]:
     at = raw.find(part)
     while at >= 0:
