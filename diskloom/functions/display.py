@@ -16,9 +16,10 @@ def _tenths(size: Column, unit: int) -> Column:
 
 
 def size_text(size: Column, style: str = "report") -> Column:
-    """A size in words: ``report`` (B to GB), ``status`` (bytes, KB, MB) or ``list`` (plain, KB, MB)."""
+    """A size in words: ``report`` (B to GB), ``short`` (B, KB, MB), ``status`` (bytes, KB, MB) or ``list`` (plain, KB, MB)."""
     kb, mb, gb = 1 << 10, 1 << 20, 1 << 30
-    plain = {"report": F.concat(size.cast("string"), F.lit(" B")), "status": F.concat(F.format_number(size, 0), F.lit(" bytes")), "list": F.format_number(size, 0)}[style]
+    small = F.concat(size.cast("string"), F.lit(" B"))
+    plain = {"report": small, "short": small, "status": F.concat(F.format_number(size, 0), F.lit(" bytes")), "list": F.format_number(size, 0)}[style]
     text = F.when(size < kb, plain).when(size < mb, F.concat(_tenths(size, kb), F.lit(" KB")))
     if style == "report":
         return text.when(size < gb, F.concat(_tenths(size, mb), F.lit(" MB"))).otherwise(F.concat(_tenths(size, gb), F.lit(" GB")))
